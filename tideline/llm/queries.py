@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import packing, token_store
 
 QUERIES = {
     "op7_power_of_two_packing": packing.op7,
+    "op10_token_store": token_store.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {}
