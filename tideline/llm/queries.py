@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing, token_store
+from . import packing, quality, token_store, urls
 
 QUERIES = {
+    "op5_redirect_equivalence": urls.op5,
+    "op6_risk_controlled_quality": quality.op6,
     "op7_power_of_two_packing": packing.op7,
     "op10_token_store": token_store.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_redirect_equivalence": urls.SQL,
+    "op6_risk_controlled_quality": quality.SQL,
+}
