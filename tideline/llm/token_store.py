@@ -28,17 +28,17 @@ from .tokenizing import crc_combiner, encoder, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-MIN_IDS, MASK_BITS, MAX_IDS = 128, 9, 4096
-WINDOW = 32
+MIN_IDS, MASK_BITS, MAX_IDS = 256, 10, 8192
+WINDOW = 16
 DIGEST_BYTES = 16
 
 
 def _gear() -> np.ndarray:
-    """One pseudo-random 64-bit value for each 16-bit id, from a fixed mixing rule."""
-    x = np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    """One pseudo-random 32-bit value for each 16-bit id, from a fixed mixing rule."""
+    x = (np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
+    return (x >> np.uint64(32)).astype(np.uint32)
 
 
 _TABLE = _gear()
@@ -51,13 +51,13 @@ def cut_points(ids: np.ndarray, min_ids: int = MIN_IDS, mask_bits: int = MASK_BI
         return []
     if n <= min_ids:
         return [n]
-    h = _TABLE[ids & np.uint32(0xFFFF)]
+    h = _TABLE[ids]
     step = 1
     while step < WINDOW:  # h[i] becomes the sum of table values shifted by their distance, over the window
-        h[step:] = h[step:] + (h[:-step] << np.uint64(step))
+        h[step:] = h[step:] + (h[:-step] << np.uint32(step))
         step *= 2
     # The mask looks at bits that the whole window reaches.
-    hits = np.flatnonzero((h >> np.uint64(WINDOW)) & np.uint64((1 << mask_bits) - 1) == 0) + 1
+    hits = np.flatnonzero(h & np.uint32(((1 << mask_bits) - 1) << WINDOW) == 0) + 1
     out, at, k = [], 0, 0
     while n - at > min_ids:
         k += int(np.searchsorted(hits[k:], at + min_ids))

@@ -2,8 +2,8 @@
 
 Both vocabularies split a text into independent pre-tokens before merging, so
 the ids of a text are the ids of its pieces in order. Pieces are cut only at
-boundaries that are pre-token boundaries whatever stands around them; each
-distinct piece goes through the library once per worker, and texts with any
+boundaries that are pre-token boundaries whatever stands around them; a piece
+goes through the library when a worker first meets it, and texts with any
 other white space go through it whole.
 """
 
@@ -11,17 +11,24 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Callable
 
 import numpy as np
 
 #: Pieces a worker remembers; the cache starts over when it is full.
-CACHE_PIECES = 300_000
-MAX_PIECE = 64
+CACHE_PIECES = 800_000
+#: Pieces that go through the library as one text.
+JOINED = 64
 
 _loaded: dict[tuple, "Encoder"] = {}
-#: A space or line break beside any other character that may count as white space.
-_IRREGULAR = re.compile(r"[ \n][\s\x1c-\x1f\x85﻿​᠎]|[\s\x1c-\x1f\x85﻿​᠎][ \n]|^[ \n]|[ \n]$")
+#: White space other than a plain space or line break, as far as any library may see it, and the separators used here.
+_ODD = re.compile("[\x01\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+
+
+def _regular(text: str) -> bool:
+    """Only single spaces and line breaks, each between two other characters."""
+    return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in ("  ", "\n\n", " \n", "\n ")) and not _ODD.search(text)
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,13 +46,23 @@ class Encoder:
 
     def __init__(self, path: str, words: bool, dtype: str = "<u4"):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.words, self.dtype = words, np.dtype(dtype)
-        self.spaced: dict[str, bytes] = {"": b""} if words else {}
-        self.bare: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.plain = None
+        if words:
+            # The same vocabulary without its normalizer, for words that normalization leaves alone.
+            self.plain = Tokenizer.from_file(path)
+            self.plain.encode_special_tokens = True
+            self.plain.normalizer = normalizers.Sequence([])
+        # A byte that is a pre-token of its own beside white space, or the line break that pieces never hold.
+        self.separator = "\x01" if words else "\n"
+        (self.separator_id,) = self.lib.encode(self.separator, add_special_tokens=False).ids
+        self.glue = f" {self.separator} " if words else self.separator
+        self.stop = np.array([self.separator_id], self.dtype).tobytes()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -53,41 +70,50 @@ class Encoder:
             out += [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts[i : i + 2048], add_special_tokens=False)]
         return out
 
-    def _fill(self, cache: dict[str, bytes], pieces: set[str], prefix: str) -> None:
-        new = [p for p in pieces if p not in cache]
-        if len(cache) + len(new) > CACHE_PIECES:
-            cache.clear()
-            if self.words:
-                cache[""] = b""
-            new = [p for p in pieces if p not in cache]
-        cache.update(zip(new, self._library([prefix + p for p in new]), strict=True))
+    def _joined(self, lib, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece; many go through the library as one text, told apart by the separator's id."""
+        out: list[bytes] = []
+        width = self.dtype.itemsize
+        parts = [pieces[k : k + JOINED] for k in range(0, len(pieces), JOINED)]
+        for k in range(0, len(parts), 32):
+            group = parts[k : k + 32]
+            for part, found in zip(group, lib.encode_batch_fast([self.glue.join(p) for p in group], add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, self.dtype)
+                ends = (np.flatnonzero(ids == self.separator_id) * width).tolist()
+                if len(ends) != len(part) - 1:
+                    raise ValueError("pieces cannot be told apart")
+                raw = ids.tobytes()
+                out += [raw[i:j] for i, j in zip([0, *[e + width for e in ends]], [*ends, len(raw)], strict=True)]
+        return out
+
+    def _learn(self, pieces: set[str]) -> None:
+        new = list(pieces - self.known.keys())
+        if len(self.known) + len(new) > CACHE_PIECES:
+            self.known.clear()
+            new = list(pieces)
+        if self.words:
+            small = [p.lower() for p in new]
+            usual = unicodedata.is_normalized("NFC", "".join(small)) and not any("\u03a3" in p or "\u0130" in p for p in new)
+            self.known.update(zip(new, self._joined(self.plain, small) if usual else self._joined(self.lib, new), strict=True))
+            return
+        opening = [p for p in new if p[0] == "\n"]
+        inner = [p for p in new if p[0] != "\n"]
+        self.known.update(zip(inner, self._joined(self.lib, [" " + p for p in inner]), strict=True))
+        self.known.update(zip(opening, [self.stop + b for b in self._joined(self.lib, [p[1:] for p in opening])], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return self._encode_words(texts) if self.words else self._encode_spaced(texts)
-
-    def _encode_words(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        self._fill(self.spaced, set().union(*parts), "")
-        get = self.spaced.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
-
-    def _encode_spaced(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if not t or _IRREGULAR.search(t)]
-        for i, b in zip(odd, self._library([texts[i] for i in odd]), strict=True):
-            out[i] = b
-        plain = [(i, [line.split(" ") for line in texts[i].split("\n")]) for i in range(len(texts)) if out[i] is None]
-        first, rest = {"\n"}, set()
-        for _, lines in plain:
-            for line in lines:
-                first.add(line[0])
-                rest.update(line[1:])
-        self._fill(self.bare, first, "")
-        self._fill(self.spaced, rest, " ")
-        bare, spaced, stop = self.bare, self.spaced.__getitem__, self.bare["\n"]
-        for i, lines in plain:
-            out[i] = stop.join(bare[line[0]] + b"".join(map(spaced, line[1:])) for line in lines)
-        return out
+        """Ids of each text as little-endian bytes."""
+        parts = [self._pieces(t) if _regular(t) else None for t in texts]
+        slow = iter(self._library([t for t, p in zip(texts, parts, strict=True) if p is None]))
+        self._learn(set().union(*[p for p in parts if p]))
+        # A text's first piece is cached with a line break before it, which is cut off again.
+        get, skip = self.known.__getitem__, 0 if self.words else self.dtype.itemsize
+        return [next(slow) if p is None else b"".join(map(get, p))[skip:] for p in parts]
+
+    def _pieces(self, text: str) -> list[str]:
+        if self.words:
+            return text.replace("\n", " ").split(" ")
+        return ("\n" + text.replace("\n", " \n")).split(" ")
 
 
 def encoder(path: str, words: bool, dtype: str = "<u4") -> Encoder:
