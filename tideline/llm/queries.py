@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, quality, token_store, urls
+from . import media, packing, quality, token_store, urls
 
 QUERIES = {
+    "op4_media_chunks": media.op4,
     "op5_redirect_equivalence": urls.op5,
     "op6_risk_controlled_quality": quality.op6,
     "op7_power_of_two_packing": packing.op7,
