@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import media, packing, quality, token_store, urls
+from . import langid, media, packing, quality, secrets, token_store, urls
 
 QUERIES = {
+    "op2_secret_crf": secrets.op2,
+    "op3_language_embeddings": langid.op3,
     "op4_media_chunks": media.op4,
     "op5_redirect_equivalence": urls.op5,
     "op6_risk_controlled_quality": quality.op6,
