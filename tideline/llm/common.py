@@ -91,18 +91,18 @@ def prefix_sum(df: DataFrame, key: str, value: Column, out: str, ties: list[str]
     same way, so no task sees more than a block or the few top-level totals.
     Null keys come first. ``df`` is read twice: pass a materialized table.
     """
-    base = df.withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY))).withColumn("_value", value.cast("long"))
-    base = base.withColumn("_block", F.shiftright("_key", bits))
-    order = [F.col("_key"), *[F.col(c).asc_nulls_first() for c in ties or []]]
-    within = Window.partitionBy("_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inner = base.withColumn("_inner", F.coalesce(F.sum("_value").over(within), F.lit(0).cast("long")))
-    totals = base.groupBy("_block").agg(F.sum("_value").alias("_total"))
+    k, v, b, o = (f"_{x}{levels}" for x in ("key", "value", "block", "offset"))
+    base = df.withColumn(k, F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY))).withColumn(v, value.cast("long"))
+    base = base.withColumn(b, F.shiftright(k, bits))
+    order = [F.col(k), *[F.col(c).asc_nulls_first() for c in ties or []]]
+    zero = F.lit(0).cast("long")
+    within = Window.partitionBy(b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = base.withColumn("_inner", F.coalesce(F.sum(v).over(within), zero))
+    totals = base.groupBy(b).agg(F.sum(v).alias("_total"))
     if levels > 1:
-        offsets = prefix_sum(totals, "_block", F.col("_total"), "_offset", bits=bits, levels=levels - 1)
+        offsets = prefix_sum(totals, b, F.col("_total"), o, bits=bits, levels=levels - 1)
     else:
-        top = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(top), F.lit(0).cast("long")))
-    offsets = offsets.select(F.col("_block").alias("_b"), "_offset")
-    joined = inner.join(offsets, inner["_block"] == offsets["_b"], "left")
-    keep = [df[c] for c in df.columns]
-    return joined.select(*[inner[c] for c in df.columns], (F.col("_inner") + F.col("_offset")).alias(out)) if keep else joined
+        top = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.withColumn(o, F.coalesce(F.sum("_total").over(top), zero))
+    joined = inner.join(offsets.select(b, o), b, "left")
+    return joined.select(*df.columns, (F.col("_inner") + F.col(o)).alias(out))
