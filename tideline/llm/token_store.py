@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -86,16 +86,16 @@ def encode_objects(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFram
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, pack = encoder(path, False), zstandard.ZstdCompressor(level=1)
-        seen: set[bytes] = set()
+        enc, pack = encoder(path, False, "<u2"), zstandard.ZstdCompressor(level=1)
+        seen, end = set(), end_id.to_bytes(2, "little")
         for batch in batches:
             for part in text_slices(batch):
                 rows: list[tuple] = []
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 for doc, raw in zip(part.column("doc_id").to_pylist(), enc.encode(texts), strict=True):
-                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
-                    ends = cut_points(ids)
-                    bodies = [ids[a:b].astype("<u2").tobytes() for a, b in zip([0, *ends], ends)]
+                    raw += end
+                    ends = cut_points(np.frombuffer(raw, "<u2"))
+                    bodies = [raw[2 * a : 2 * b] for a, b in zip([0, *ends], ends)]
                     digests = [hashlib.sha256(b).digest()[:DIGEST_BYTES] for b in bodies]
                     root = merkle_root(digests)
                     key = f"{doc}:{root.hex()}"  # rows alike in id and text share it
@@ -110,18 +110,6 @@ def encode_objects(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFram
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _OBJECTS)
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the first chunk row of each digest; all of a digest's rows are in one partition."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for kind, digest in zip(batch.column("kind").to_pylist(), batch.column("digest").to_pylist(), strict=True):
-            keep.append(kind == "ref" or digest not in seen)
-            if kind == "chunk":
-                seen.add(digest)
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
 def write_store(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_ID) -> str:
     """Encode ``docs`` and write the store to ``out``; returns ``out``.
 
@@ -131,7 +119,10 @@ def write_store(docs: DataFrame, out: str, path: str | None = None, end_id: int
     """
     spark = docs.sparkSession
     spread = F.when(F.col("kind") == "chunk", F.xxhash64("digest")).otherwise(F.xxhash64("row_key", "seq"))
-    objects = encode_objects(docs, path or tokenizer_path(VOCABULARY), end_id).repartition(spread).mapInArrow(_once, _OBJECTS)
+    objects = encode_objects(docs, path or tokenizer_path(VOCABULARY), end_id)
+    # Rows are dealt by a hash, so a digest's chunk rows meet; all but one of them go.
+    once = Window.partitionBy("_spread", "digest").orderBy("kind")
+    objects = objects.withColumn("_spread", spread).repartition("_spread").withColumn("_n", F.row_number().over(once)).filter("kind = 'ref' or _n = 1").drop("_spread", "_n")
     objects.write.partitionBy("kind").option("compression", "none").parquet(f"{out}/objects")
     refs = _objects(spark, out, "ref")
     recipes = refs.groupBy("row_key", "doc_id", "root", "n_chunks").agg(F.sort_array(F.collect_list(F.struct("seq", "digest"))).alias("chunks"))

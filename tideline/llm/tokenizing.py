@@ -87,7 +87,8 @@ class Encoder:
         return out
 
     def _learn(self, pieces: set[str]) -> None:
-        new = list(pieces - self.known.keys())
+        known = self.known
+        new = [p for p in pieces if p not in known]
         if len(self.known) + len(new) > CACHE_PIECES:
             self.known.clear()
             new = list(pieces)
@@ -125,9 +126,13 @@ def encoder(path: str, words: bool, dtype: str = "<u4") -> Encoder:
 
 
 def crc_combiner() -> Callable[[int, int, int], int]:
-    """``combine(a, b, n)``: crc32 of two byte strings joined, the second ``n`` bytes long."""
+    """``combine(a, b, n)``: crc32 of two byte strings joined, the second ``n`` bytes long.
 
-    def times(matrix: list[int], vector: int) -> int:
+    Appending zero bits moves the register by a linear map; the maps of 8, 16,
+    32, ... bits are kept as one table per register byte.
+    """
+
+    def apply(matrix: list[int], vector: int) -> int:
         total, i = 0, 0
         while vector:
             if vector & 1:
@@ -136,24 +141,26 @@ def crc_combiner() -> Callable[[int, int, int], int]:
             i += 1
         return total
 
-    # One zero bit moves the register by this linear map; squaring doubles the bits.
-    bit = [0xEDB88320] + [1 << i for i in range(31)]
-    powers = [bit]
-    shifts: dict[int, list[int]] = {}
-
-    def shift(n_bits: int) -> list[int]:
-        if n_bits not in shifts:
-            out, k, left = [1 << i for i in range(32)], 0, n_bits
-            while left:
-                while len(powers) <= k:
-                    powers.append([times(powers[-1], v) for v in powers[-1]])
-                if left & 1:
-                    out = [times(powers[k], v) for v in out]
-                left >>= 1
-                k += 1
-            if len(shifts) > 4096:
-                shifts.clear()
-            shifts[n_bits] = out
-        return shifts[n_bits]
-
-    return lambda a, b, n: times(shift(8 * n), a) ^ b
+    step = [0xEDB88320] + [1 << i for i in range(31)]  # one bit
+    for _ in range(3):
+        step = [apply(step, v) for v in step]
+    maps: list[list[list[int]]] = []
+
+    def tables(k: int) -> list[list[int]]:
+        nonlocal step
+        while len(maps) <= k:
+            maps.append([[apply(step, b << shift) for b in range(256)] for shift in (0, 8, 16, 24)])
+            step = [apply(step, v) for v in step]
+        return maps[k]
+
+    def combine(a: int, b: int, n: int) -> int:
+        k = 0
+        while n:
+            if n & 1:
+                t0, t1, t2, t3 = tables(k)
+                a = t0[a & 255] ^ t1[a >> 8 & 255] ^ t2[a >> 16 & 255] ^ t3[a >> 24]
+            n >>= 1
+            k += 1
+        return a ^ b
+
+    return combine
