@@ -121,7 +121,8 @@ def shared_chunks(refs: DataFrame) -> DataFrame:
     """(doc_id, row_hash, shared, lent): numbers of a document's chunks that are
     referenced more than once, and of those whose first reference is here."""
     at = F.struct("doc_id", "row_hash", "seq")
-    many = refs.groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Written out, so that the join below reads two exchanges and Spark can split a hot digest.
+    many = materialize(refs.groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "many")
     marked = refs.join(many, "digest").withColumn("owns", at.eqNullSafe(F.col("first")))
     return marked.groupBy("doc_id", "row_hash").agg(F.collect_set("seq").alias("shared"), F.collect_set(F.when(F.col("owns"), F.col("seq"))).alias("lent"))
 
