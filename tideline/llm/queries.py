@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, media, packing, quality, secrets, token_store, urls
+from . import langid, media, ngram_join, packing, quality, secrets, token_store, urls
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1,
     "op2_secret_crf": secrets.op2,
     "op3_language_embeddings": langid.op3,
     "op4_media_chunks": media.op4,
