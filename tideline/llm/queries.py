@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, media, ngram_join, packing, quality, secrets, token_store, urls, warc
+from . import langid, media, ngram_join, packing, pieces, quality, secrets, token_store, urls, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_redirect_equivalence": urls.op5,
     "op6_risk_controlled_quality": quality.op6,
     "op7_power_of_two_packing": packing.op7,
+    "op8_piece_merge_dropout": pieces.op8,
     "op9_warc_revisits": warc.op9,
     "op10_token_store": token_store.op10,
 }
