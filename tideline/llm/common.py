@@ -71,6 +71,17 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: A table of row marks is sent to every executor up to this many bytes, else joined by shuffle.
+BROADCAST_BYTES = 16 << 20
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows of ``gone`` (doc_id, row_hash: xxhash64 of the text); columns stay."""
+    gone = materialize(gone.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() * 24 <= BROADCAST_BYTES else gone
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_hash"]), "left_anti")
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``limit`` bytes of text (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import drop_rows, materialize, table
 
 RISK, DELTA = 0.01, 0.05
 GRID = (0.02, 0.05, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.6, 0.7, 0.8, 0.9)
@@ -96,12 +96,12 @@ def thresholds(labelled: DataFrame, stratum: str, risk: float = RISK, delta: flo
     share = risk / len(names)
     limit = F.lit(math.log(delta / (len(names) * len(grid)))) - F.log(F.col("_strata").cast("double"))
     counts = counts.join(F.broadcast(tried))  # one row
-    cuts = []
-    for m in names:
-        # With rejections at or over the expected number the tail is never small; only fewer are summed.
-        proven = [F.when(F.col(f"{m}_{i}") < F.col("n") * share, F.when(log_tail(F.col("n"), F.col(f"{m}_{i}"), share) <= limit, F.lit(c))) for i, c in enumerate(grid)]
-        cuts.append(F.array_min(F.array(*proven)).alias(f"cut_{m}"))
-    return counts.select(F.col(stratum), *cuts)
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(c).alias("c"), F.col(f"{m}_{i}").alias("k")) for m in names for i, c in enumerate(grid)]))
+    cells = counts.select(F.col(stratum), "n", "_strata", cells.alias("x")).select(stratum, "n", "_strata", "x.*")
+    # With rejections at or over the expected number the tail is never small; only fewer are summed.
+    proven = cells.filter((F.col("k") < F.col("n") * share)).filter(log_tail(F.col("n"), F.col("k"), share) <= limit)
+    cuts = [F.min(F.when(F.col("m") == m, F.col("c"))).alias(f"cut_{m}") for m in names]
+    return proven.groupBy(stratum).agg(*cuts)
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA, keep: list[str] | None = None) -> DataFrame:
@@ -129,6 +129,13 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~rejected).alias("kept"), *[c for c in keep or [] if c != "doc_id"])
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """``docs`` without the rows that :func:`judge` does not keep; columns stay."""
+    marked = docs.withColumn("row_hash", F.xxhash64(F.col("text").cast("string")))
+    bad = judge(marked, labels, stratum, keep=["row_hash"]).filter("not kept")
+    return drop_rows(docs, bad.select(F.col("doc_id").cast("long"), "row_hash"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
