@@ -12,7 +12,7 @@ Candidates must share a prefix token under every order that is looked at:
    before their sets are compared.
 
 Texts with equal sets are one class. Buckets of a shared token are not paired
-out: each round compares a bucket's members with one pivot only, links them
+out: each round compares members with a pivot of their bucket only, links them
 into components, and drops buckets that lie in one component. What stays after
 a few rounds gets a fourth order, exact frequency over the whole remaining
 sets, and only pairs in different components are compared. Components are
@@ -37,9 +37,10 @@ from .shingles import second_order, shingle_sets
 
 PERCENT = 80
 EXTRA, EXTRA_SHARE = 48, 50
-ROUNDS = 3
+#: Rounds with one pivot per member come before those with one per bucket.
+SINGLE_ROUNDS, ROUNDS = 2, 4
 #: Buckets up to this size are compared whole; so is everything once it comes to so few pairs.
-SMALL, FEW_PAIRS = 6, 400_000
+SMALL, FEW_PAIRS = 6, 200_000
 #: Just over 100 / PERCENT, so that sizes which allow a link lie in one band or in neighbours.
 BAND = 1.2501
 #: Ids of documents with candidates: sent to every executor up to this many bytes, else joined by shuffle.
@@ -98,12 +99,23 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
     return base.withColumn("key", F.xxhash64("doc_id", "text") if odd else F.col("doc_id")), bool(odd)
 
 
-def _near_size(a: Column, b: Column) -> Column:
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+def _may_link(x: str, y: str) -> Column:
+    """Whether the sizes of two bucket members, and what stands from the shared token on, allow a link.
+
+    A bucket row has n tokens, m of them in its (extended) prefix and ``rest``
+    from the shared token on. Linked sets share ``need`` tokens, so at least
+    ``need + min(m - n)`` in their prefixes, and if this is the first of them in
+    order, all of those stand in either ``rest``. Where it is not the first, the
+    pair meets in that one's bucket.
+    """
+    a, b = (lambda c: F.col(f"{x}.{c}")), (lambda c: F.col(f"{y}.{c}"))
+    near = 100 * F.least(a("n"), b("n")) >= PERCENT * F.greatest(a("n"), b("n"))
+    room = F.least(a("rest"), b("rest")) - F.least(a("m") - a("n"), b("m") - b("n"))
+    return near & ((100 + PERCENT) * room >= PERCENT * (a("n") + b("n")))
 
 
 def _rarest(postings: DataFrame, limits: DataFrame, partners: int = 2) -> DataFrame:
-    """(key, n, token) of the rarest ``keep`` tokens of each key that occur with others.
+    """(key, n, m, shared, t): the rarest ``keep`` tokens of each key, those of them that occur with others.
 
     ``postings`` is (key, token); ``limits`` (key, n, m, keep): of a key's ``m``
     tokens, those that occur nowhere else are the rarest and use up their part.
@@ -115,7 +127,7 @@ def _rarest(postings: DataFrame, limits: DataFrame, partners: int = 2) -> DataFr
     sorted_ = common.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     joined = sorted_.join(limits.select("key", "n", "m", "keep"), "key")
     left = F.col("keep") - (F.col("m") - F.size("t"))
-    return joined.withColumn("left", left.cast("int")).filter("left > 0").select("key", "n", F.slice("t", F.lit(1), F.greatest("left", F.lit(0))).alias("t"))
+    return joined.withColumn("left", left.cast("int")).filter("left > 0").select("key", "n", "m", F.size("t").alias("shared"), F.slice("t", F.lit(1), F.greatest("left", F.lit(0))).alias("t"))
 
 
 class _Links:
@@ -156,7 +168,7 @@ class _Links:
 
     def _open(self, buckets: DataFrame, r: int) -> DataFrame:
         """Members of the buckets that hold several components, with the bucket's size and its pivot for round ``r``."""
-        now = self._components(buckets.select("token", "key", "n"))
+        now = self._components(buckets.select("token", "key", "x"))
         if self.pivots is not None and self.links is not None:
             # Linked documents that have not served come first, then any by a hash that differs by round.
             degree = self.links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
@@ -164,23 +176,25 @@ class _Links:
             rank = F.struct(F.coalesce("served", F.lit(0)).alias("s"), (-F.coalesce("degree", F.lit(0))).alias("d"), F.xxhash64("key", F.lit(r)).alias("h"))
         else:
             rank = F.struct(F.lit(0).alias("s"), F.lit(0).alias("d"), F.col("key").alias("h"))
-        now = now.select("token", "key", "n", "c", F.struct(rank.alias("rank"), "key", "n", "c").alias("head"))
+        now = now.select("token", "key", "x", "c", F.struct(rank.alias("rank"), "key", "x", "c").alias("head"))
         heads = now.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min("head").alias("pivot")).filter("lo < hi")
-        heads = heads.select("token", "size", F.col("pivot.key").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.c").alias("pc"))
-        return materialize(now.select("token", "key", "n", "c").join(heads, "token"), "buckets")
+        heads = heads.select("token", "size", F.col("pivot.key").alias("p"), F.col("pivot.x").alias("px"), F.col("pivot.c").alias("pc"))
+        return materialize(now.select("token", "key", "x", "c").join(heads, "token"), "buckets")
 
     @staticmethod
     def _every_pair(members: DataFrame) -> DataFrame:
-        x = members.select("token", "key", "n", "c")
-        y = members.select("token", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-        pairs = x.join(y, "token").filter((F.col("key") < F.col("key2")) & (F.col("c") != F.col("c2")) & _near_size(F.col("n"), F.col("n2")))
+        one = members.select("token", "key", "x", "c")
+        two = members.select("token", F.col("key").alias("key2"), F.col("x").alias("x2"), F.col("c").alias("c2"))
+        pairs = one.join(two, "token").filter((F.col("key") < F.col("key2")) & (F.col("c") != F.col("c2")) & _may_link("x", "x2"))
         return pairs.select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct()
 
     def settle(self, buckets: DataFrame) -> DataFrame | None:
-        """Link the members of buckets (token, key, n).
+        """Link the members of buckets (token, key, x: the sizes that :func:`_may_link` reads).
 
-        Small buckets are compared whole, larger ones with a pivot per round;
-        returns those that still hold several components after the last.
+        First each member is compared with one pivot a round, which gathers large
+        groups of near copies; then small buckets are compared whole and larger
+        ones with their pivot. Returns those that still hold several components
+        after the last round.
         """
         for r in range(ROUNDS + 1):
             now = self._open(buckets, r)
@@ -192,10 +206,16 @@ class _Links:
                 return None
             if r == ROUNDS:
                 return now
-            large = now.filter(F.col("size") > SMALL)
-            pairs = large.filter((F.col("c") != F.col("pc")) & _near_size(F.col("n"), F.col("pn")))
-            pairs = pairs.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct()
-            self.compare(pairs.union(self._every_pair(now.filter(F.col("size") <= SMALL))).distinct())
+            near = now.filter((F.col("c") != F.col("pc")) & _may_link("x", "px"))
+            if r < SINGLE_ROUNDS:
+                # One pivot for each member, that of its fullest bucket: as many pairs as members.
+                large, first = now, F.min(F.struct((-F.col("size")).alias("s"), "p"))
+                pairs = near.groupBy("key").agg(first.alias("f")).select("key", "f.p")
+                self.compare(pairs.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct())
+            else:
+                large = now.filter(F.col("size") > SMALL)
+                pairs = near.filter(F.col("size") > SMALL).select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b"))
+                self.compare(pairs.union(self._every_pair(now.filter(F.col("size") <= SMALL))).distinct())
             served = materialize(large.select(F.col("p").alias("key")).distinct(), "pivots")
             self.pivots = served if self.pivots is None else self.pivots.union(served).distinct()
             release_shuffles(self.spark)
@@ -214,10 +234,11 @@ class _Links:
 
 
 def _buckets(rare: DataFrame) -> DataFrame:
-    """(token, key, n) with tokens told apart by size: sets whose sizes allow a link share a bucket."""
+    """(token, key, x) with tokens told apart by size: sets whose sizes allow a link share a bucket."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(BAND)))
-    each = rare.select("key", "n", band.alias("band"), F.explode("t.token").alias("t"))
-    return each.select(F.explode(F.array(F.xxhash64("t", "band"), F.xxhash64("t", F.col("band") + 1))).alias("token"), "key", "n")
+    each = rare.select("key", "n", "m", "shared", band.alias("band"), F.posexplode("t.token").alias("i", "t"))
+    x = F.struct("n", "m", (F.col("shared") - F.col("i")).cast("long").alias("rest"))
+    return each.select(F.explode(F.array(F.xxhash64("t", "band"), F.xxhash64("t", F.col("band") + 1))).alias("token"), "key", x.alias("x"))
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
