@@ -15,12 +15,24 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 
 #: Bytes of text that one Python step works on at a time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 NULL_KEY = -(1 << 62)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Rows of an Arrow batch, at most: long texts stay within a worker's memory.
+BATCH_ROWS = 512
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let workers import this package and get their rows in small batches."""
     ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,6 +60,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and reread it, which cuts its lineage."""
     spark = df.sparkSession
+    prepare(spark)
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)

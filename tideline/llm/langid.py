@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .common import table, text_slices
+from .common import prepare, table, text_slices
 
 #: Rows fitted on, at most: per language, and in all.
 SAMPLE_PER_LANG, SAMPLE_ROWS = 600, 6000
@@ -203,7 +202,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     row everything is ``und``. Repeated rows: a row each. Empty table: no rows.
     Other columns are never read. Whole texts are scored.
     """
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))  # buckets x languages, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +217,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def keep_accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``docs`` without the rows whose language is unknown or rejected; columns stay."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

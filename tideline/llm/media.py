@@ -25,8 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .common import discard, materialize, new_path, table, text_slices
+from .common import discard, materialize, new_path, prepare, table, text_slices
 
 UNIT = 64
 MIN_BYTES, MASK_BITS, MAX_BYTES = 1024, 11, 16384
@@ -101,7 +100,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def chunk_references(docs: DataFrame) -> DataFrame:
     """(doc_id, row_hash, seq, digest): every chunk of every document, without its bytes."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +204,7 @@ def read_media(spark: SparkSession, out: str, with_payload: bool = False) -> Dat
     Documents without shared chunks need no shuffle; for the others the shared
     chunks travel to the records by digest, then by document.
     """
-    ship(spark)
+    prepare(spark)
     objects = spark.read.schema(_OBJECT).parquet(out)
     records, shared = objects.filter("kind = 'record'").drop("kind", "digest"), objects.filter("kind = 'shared'").select("digest", "blob")
     alone = records.filter(F.size("shared") == 0).withColumn("fetched", F.lit(None).cast("array<struct<digest:binary,blob:binary>>"))

@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .common import materialize, prefix_sum, text_slices
+from .common import materialize, prefix_sum, prepare, text_slices
 from .tokenizing import encoder, tokenizer_path
 
 SEQUENCE_TOKENS = 2048
@@ -43,7 +42,7 @@ def cut_documents(docs: DataFrame, path: str, sequence_tokens: int = SEQUENCE_TO
     if sequence_tokens < 1 or sequence_tokens & (sequence_tokens - 1):
         raise ValueError("sequence_tokens must be a power of two")
 
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path, True), np.array([end_id], "<u4").tobytes()

@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .common import table, text_slices
+from .common import prepare, table, text_slices
 from .tokenizing import tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
@@ -158,7 +157,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, dropout: float =
     null. Repeated rows: a row each, all alike. Empty table: no rows. Other
     columns are ignored. Texts of any length are encoded whole.
     """
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     where = path or tokenizer_path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +182,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, dropout: float =
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, text) of (doc_id, ids)."""
-    ship(encoded.sparkSession)
+    prepare(encoded.sparkSession)
     where = path or tokenizer_path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .common import table, text_slices
+from .common import prepare, table, text_slices
 
 SEED, TRAIN_LINES, EPOCHS, RATE, PENALTY = 7, 3000, 4, 0.3, 1e-4
 KINDS = ("assign", "access", "hex", "crf")
@@ -268,7 +267,7 @@ def find_spans(text: str, model: Model) -> tuple[list[tuple[int, str, int]], lis
 
 
 def _model_of(docs: DataFrame):
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.sparkSession.sparkContext.broadcast(trained())  # a few thousand features, whatever the input
 
 

@@ -22,8 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .common import materialize, new_path, prefix_sum, table, text_slices
+from .common import materialize, new_path, prefix_sum, prepare, table, text_slices
 from .tokenizing import crc_combiner, encoder, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -83,7 +82,7 @@ _OBJECTS = "kind string, row_key string, doc_id long, seq int, digest binary, n_
 def encode_objects(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """A ``ref`` row for each chunk of each document, and a ``chunk`` row with the
     compressed ids for each digest that is new to the task."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pack = encoder(path, False, "<u2"), zstandard.ZstdCompressor(level=1)
@@ -151,7 +150,7 @@ def verified_chunks(spark: SparkSession, out: str, with_ids: bool = False) -> Da
                 cols.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, ["digest", "n", "crc", "ids"][: len(cols)])
 
-    ship(spark)
+    prepare(spark)
     return _objects(spark, out, "chunk").select("digest", "body").mapInArrow(run, "digest binary, n int, crc long" + (", ids array<int>" if with_ids else ""))
 
 
