@@ -30,17 +30,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .common import discard, materialize, release_shuffles, table, text_slices
+from .common import discard, materialize, prepare, release_shuffles, table, text_slices
 from .graph import connected_components
 from .shingles import second_order, shingle_sets
 
 PERCENT = 80
 EXTRA, EXTRA_SHARE = 48, 50
-#: Rounds with one pivot per member come before those with one per bucket.
-SINGLE_ROUNDS, ROUNDS = 2, 4
-#: Buckets up to this size are compared whole; so is everything once it comes to so few pairs.
-SMALL, FEW_PAIRS = 6, 200_000
+#: Cheap rounds before the exact ones, and hash orders in each.
+SKETCH_ROUNDS, SKETCHES = 2, 4
+#: Rounds of one pivot per member; the pairs whose sizes are looked at without more rounds, in all and per row.
+ROUNDS, FEW_PAIRS, PAIRS_PER_ROW = 1, 20_000_000, 50
 #: Just over 100 / PERCENT, so that sizes which allow a link lie in one band or in neighbours.
 BAND = 1.2501
 #: Ids of documents with candidates: sent to every executor up to this many bytes, else joined by shuffle.
@@ -130,6 +129,10 @@ def _rarest(postings: DataFrame, limits: DataFrame, partners: int = 2) -> DataFr
     return joined.withColumn("left", left.cast("int")).filter("left > 0").select("key", "n", "m", F.size("t").alias("shared"), F.slice("t", F.lit(1), F.greatest("left", F.lit(0))).alias("t"))
 
 
+def _least_token(order: int) -> Column:
+    return F.array_min(F.transform("t", lambda x: F.xxhash64(F.lit(order), x["token"])))
+
+
 class _Links:
     """Verified links between class representatives, and what has been compared."""
 
@@ -138,7 +141,6 @@ class _Links:
         self.links: DataFrame | None = None
         self.compared: DataFrame | None = None
         self.parts: DataFrame | None = None
-        self.pivots: DataFrame | None = None
 
     def _components(self, frame: DataFrame) -> DataFrame:
         if self.parts is None:
@@ -164,81 +166,97 @@ class _Links:
         self.compared = pairs if self.compared is None else self.compared.union(pairs)
         if self.parts is not None and not found.head(1):
             return
+        release_shuffles(self.spark)
         self.parts = connected_components(self.links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    def _open(self, buckets: DataFrame, r: int) -> DataFrame:
-        """Members of the buckets that hold several components, with the bucket's size and its pivot for round ``r``."""
-        now = self._components(buckets.select("token", "key", "x"))
-        if self.pivots is not None and self.links is not None:
-            # Linked documents that have not served come first, then any by a hash that differs by round.
-            degree = self.links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
-            now = now.join(degree, "key", "left").join(self.pivots.withColumn("served", F.lit(1)), "key", "left")
-            rank = F.struct(F.coalesce("served", F.lit(0)).alias("s"), (-F.coalesce("degree", F.lit(0))).alias("d"), F.xxhash64("key", F.lit(r)).alias("h"))
-        else:
-            rank = F.struct(F.lit(0).alias("s"), F.lit(0).alias("d"), F.col("key").alias("h"))
-        now = now.select("token", "key", "x", "c", F.struct(rank.alias("rank"), "key", "x", "c").alias("head"))
-        heads = now.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min("head").alias("pivot")).filter("lo < hi")
-        heads = heads.select("token", "size", F.col("pivot.key").alias("p"), F.col("pivot.x").alias("px"), F.col("pivot.c").alias("pc"))
-        return materialize(now.select("token", "key", "x", "c").join(heads, "token"), "buckets")
+    def sketch(self, rare: DataFrame) -> None:
+        """Gather plain near copies cheaply: documents that share the least of their
+        tokens under one of a few hash orders are compared with one of them."""
+        for r in range(SKETCH_ROUNDS):
+            least = [F.struct(F.lit(o).alias("o"), _least_token(o).alias("h")) for o in range(r * SKETCHES, (r + 1) * SKETCHES)]
+            rows = self._components(rare.select("key", "n", "t")).select("key", "n", "c", F.explode(F.array(*least)).alias("bucket"))
+            rank = F.struct(F.lit(0).alias("d"), F.col("key").alias("h"))
+            if self.links is not None:
+                degree = self.links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
+                rows = rows.join(degree, "key", "left")
+                rank = F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), F.xxhash64("key").alias("h"))
+            heads = rows.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "key", "n", "c")).alias("f"), F.count("*").alias("size")).filter("size > 1")
+            heads = heads.select("bucket", "size", F.col("f.key").alias("p"), F.col("f.n").alias("pn"), F.col("f.c").alias("pc"))
+            near = 100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")
+            pairs = rows.join(heads, "bucket").filter((F.col("c") != F.col("pc")) & near)
+            self.compare(pairs.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct())
+
+    def _open(self, rows: DataFrame, r: int) -> DataFrame:
+        """Rows (token, key, c, x) of the buckets that hold several components and a
+        pair that may link, with the bucket's sizes and its pivot for round ``r``."""
+        rank = F.struct((~F.col("x.strong")).alias("w"), F.xxhash64("key", F.lit(r)).alias("h") if r else F.col("key").alias("h"))
+        heads = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.sum(F.col("x.strong").cast("long")).alias("strong"), F.min(F.struct(rank.alias("rank"), "key", "c", "x")).alias("f"))
+        heads = heads.filter("lo < hi and strong > 0").select("token", "size", "strong", F.col("f.key").alias("p"), F.col("f.x").alias("px"), F.col("f.c").alias("pc"))
+        return materialize(rows.join(heads, "token"), "buckets")
 
     @staticmethod
-    def _every_pair(members: DataFrame) -> DataFrame:
-        one = members.select("token", "key", "x", "c")
-        two = members.select("token", F.col("key").alias("key2"), F.col("x").alias("x2"), F.col("c").alias("c2"))
-        pairs = one.join(two, "token").filter((F.col("key") < F.col("key2")) & (F.col("c") != F.col("c2")) & _may_link("x", "x2"))
-        return pairs.select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct()
-
-    def settle(self, buckets: DataFrame) -> DataFrame | None:
-        """Link the members of buckets (token, key, x: the sizes that :func:`_may_link` reads).
-
-        First each member is compared with one pivot a round, which gathers large
-        groups of near copies; then small buckets are compared whole and larger
-        ones with their pivot. Returns those that still hold several components
-        after the last round.
+    def _every_pair(rows: DataFrame) -> DataFrame:
+        """Pairs of a bucket that may link; the smaller of the two must be strong."""
+        one = rows.filter("x.strong").select("token", "key", "x", "c")
+        two = rows.select("token", F.col("key").alias("key2"), F.col("x").alias("x2"), F.col("c").alias("c2"))
+        pairs = one.join(two, "token").filter((F.col("x.n") <= F.col("x2.n")) & (F.col("c") != F.col("c2")) & _may_link("x", "x2"))
+        return pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+
+    def settle(self, rare: DataFrame) -> DataFrame | None:
+        """Link what shares a bucket (see :func:`_buckets`).
+
+        Once the pairs left in open buckets are few beside their rows, all are
+        compared; until then each member is compared with one pivot a round,
+        that of its fullest bucket. Returns the rows still open after the last.
         """
+        rows = _buckets(self._components(rare))
         for r in range(ROUNDS + 1):
-            now = self._open(buckets, r)
-            rows, work = now.agg(F.count("*"), F.sum(F.col("size") - 1)).first()
-            if not rows:
+            now = self._open(rows, r)
+            n, work = now.agg(F.count("*"), F.sum("strong")).first()
+            if not n:
                 return None
-            if work <= FEW_PAIRS:
+            if work <= FEW_PAIRS + PAIRS_PER_ROW * n:
                 self.compare(self._every_pair(now))
+                discard(now)
                 return None
             if r == ROUNDS:
                 return now
             near = now.filter((F.col("c") != F.col("pc")) & _may_link("x", "px"))
-            if r < SINGLE_ROUNDS:
-                # One pivot for each member, that of its fullest bucket: as many pairs as members.
-                large, first = now, F.min(F.struct((-F.col("size")).alias("s"), "p"))
-                pairs = near.groupBy("key").agg(first.alias("f")).select("key", "f.p")
-                self.compare(pairs.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct())
-            else:
-                large = now.filter(F.col("size") > SMALL)
-                pairs = near.filter(F.col("size") > SMALL).select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b"))
-                self.compare(pairs.union(self._every_pair(now.filter(F.col("size") <= SMALL))).distinct())
-            served = materialize(large.select(F.col("p").alias("key")).distinct(), "pivots")
-            self.pivots = served if self.pivots is None else self.pivots.union(served).distinct()
-            release_shuffles(self.spark)
-            buckets = large
+            pairs = near.groupBy("key").agg(F.min(F.struct((-F.col("size")).alias("s"), "p")).alias("f")).select("key", "f.p")
+            self.compare(pairs.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct())
+            rows = self._components(now.select("token", "key", "x"))
         return None
 
-    def rest(self, buckets: DataFrame) -> None:
-        """Settle what the rounds left: exact frequency order over whole sets, then every pair of different components."""
-        sets = self.sets.join(buckets.select("key").distinct(), "key", "left_semi")
+    def rest(self, rows: DataFrame) -> None:
+        """Settle what the rounds left: exact frequency order over whole sets, then every pair that may link."""
+        sets = self.sets.join(rows.select("key").distinct(), "key", "left_semi")
         n = F.col("n")
         keep = n - F.floor((PERCENT * n + 99) / 100) + 1
         rare = _rarest(sets.select("key", F.explode("tokens").alias("token")), sets.select("key", "n", n.alias("m"), keep.alias("keep")))
-        left = self.settle(materialize(_buckets(rare), "buckets"))
-        if left is not None:
-            self.compare(self._every_pair(left))
+        self.compare(self._every_pair(self._open(_buckets(self._components(materialize(rare, "rare"))), 0)))
 
 
 def _buckets(rare: DataFrame) -> DataFrame:
-    """(token, key, x) with tokens told apart by size: sets whose sizes allow a link share a bucket."""
+    """(token, key, c, x) with tokens told apart by size: sets whose sizes allow a link share a bucket.
+
+    ``x`` holds what :func:`_may_link` reads, and whether the row can be the
+    smaller set of a linked pair: with sets of its size or more it shares
+    ``2 * PERCENT / (100 + PERCENT)`` of its tokens at least, so as much must be
+    left from the shared token on.
+    """
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(BAND)))
-    each = rare.select("key", "n", "m", "shared", band.alias("band"), F.posexplode("t.token").alias("i", "t"))
-    x = F.struct("n", "m", (F.col("shared") - F.col("i")).cast("long").alias("rest"))
-    return each.select(F.explode(F.array(F.xxhash64("t", "band"), F.xxhash64("t", F.col("band") + 1))).alias("token"), "key", x.alias("x"))
+    each = rare.select("key", "n", "m", "c", "shared", band.alias("band"), F.posexplode("t.token").alias("i", "t"))
+    left = (F.col("shared") - F.col("i")).cast("int")
+    # The widest gap of any partner: m - n falls as n grows, and n grows by 100 / PERCENT at most.
+    most = F.floor(F.col("n") * 100 / PERCENT).cast("int")
+    need = F.floor((PERCENT * most + 99) / 100).cast("int")
+    extra = F.least(need - 1, EXTRA + F.floor(most / EXTRA_SHARE).cast("int"))
+    gap = F.when(F.col("m") < F.col("n"), F.least(F.lit(0), (most - need + 1 + extra) - most)).otherwise(0)
+    gap = F.least(gap, (F.col("m") - F.col("n")).cast("int"))
+    strong = (100 + PERCENT) * (left - gap) >= 2 * PERCENT * F.col("n")
+    x = F.struct(F.col("n").cast("int").alias("n"), F.col("m").cast("int").alias("m"), left.alias("rest"), strong.alias("strong"))
+    both = F.explode(F.array(F.xxhash64("t", "band"), F.xxhash64("t", F.col("band") + 1)))
+    return each.withColumn("x", x).select(both.alias("token"), "key", "c", "x")
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -251,7 +269,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     table: no rows. Other columns are ignored. Texts of any length are read whole.
     """
     spark = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     keyed, repeated = _keyed(docs)
     profile = materialize(keyed.mapInArrow(_profile, "key long, doc_id long, n long, m long, keep long, prefix array<long>"), "profile")
     own = profile.dropDuplicates(["key"]) if repeated else profile
@@ -268,7 +286,9 @@ def similar_components(docs: DataFrame) -> DataFrame:
     classes = materialize(classes, "classes")
     members = materialize(sets.select("key", "doc_id", "digest", "n").join(classes, ["digest", "n"]).select("key", "doc_id", "rep"), "members")
     links = _Links(sets)
-    left = links.settle(_buckets(rare.join(classes.select(F.col("rep").alias("key")), "key", "left_semi")))
+    own_rare = rare.join(classes.select(F.col("rep").alias("key")), "key", "left_semi")
+    links.sketch(own_rare)
+    left = links.settle(own_rare)
     if left is not None:
         links.rest(left)
 
