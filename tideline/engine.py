@@ -17,7 +17,7 @@ from .errors import QueryError
 from .operators.upsert import merge
 from .plans.mapreduce import Job, MapReduce
 from .plans.tables import Tables
-from .session import get_session
+from .session import TABLES, get_session, load
 from .shipping import ship
 from .sources.files import read_csv, read_json
 from .sources.urls import open_source
@@ -26,14 +26,20 @@ from .sources.urls import open_source
 class Engine:
     """Runs the dialect on a Spark session."""
 
-    def __init__(self, spark: SparkSession | None = None):
-        self.spark = spark or get_session()
+    def __init__(self, spark: SparkSession | None = None, folder: str | None = None):
+        """With a ``folder``, its Parquet tables can be named too; each is opened when first named."""
+        self.spark, self.folder = spark or get_session(), folder
+        self._opened: dict[str, DataFrame] = {}
         ship(self.spark)
         self.tables = Tables(self.spark)
         self.env = Environment(self.spark, self._table)
         self.mapreduce = MapReduce(self)
 
     def _table(self, name: str) -> DataFrame:
+        if self.folder and name in TABLES:
+            if name not in self._opened:
+                self._opened[name] = load(self.spark, self.folder, name)
+            return self._opened[name]
         if not self.spark.catalog.tableExists(name):
             raise QueryError(f"table not found: '{name}'")
         return self.tables.read(name)

@@ -105,8 +105,7 @@ for _fn, _sign in (("date_add", "+"), ("date_sub", "-")):
 
 
 def engine(spark: SparkSession, folder: str) -> Engine:
-    register(spark, folder)
-    return Engine(spark)
+    return Engine(spark, folder)
 
 
 def _dialect(text: str) -> Query:
@@ -177,11 +176,13 @@ def now_shape(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def show_tables(spark: SparkSession, folder: str) -> DataFrame:
-    return engine(spark, folder).sql("SHOW TABLES")
+    register(spark, folder, ("nation", "orders"))
+    return Engine(spark).sql("SHOW TABLES")
 
 
 def describe_table(spark: SparkSession, folder: str) -> DataFrame:
-    return engine(spark, folder).sql("DESCRIBE TABLE orders")
+    register(spark, folder, ("nation", "orders"))
+    return Engine(spark).sql("DESCRIBE TABLE orders")
 
 
 def show_servers(spark: SparkSession, folder: str) -> DataFrame:
