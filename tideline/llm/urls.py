@@ -51,7 +51,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 
 
 def link_edges(pages: DataFrame, key: str = "key") -> DataFrame:
-    """(u, v): the page's key and that of each canonical link or meta refresh in its html."""
+    """(u, v, host, path): the page's key, and key, host and path of each canonical link or meta refresh in its html."""
     some = pages.filter(F.col("html").rlike("(?i)canonical|refresh"))
     tag = F.explode(F.regexp_extract_all("html", F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"), F.lit(1)))
     tags = some.select(F.col(key).alias("u"), "url", "host", tag.alias("tag"))
@@ -59,7 +59,8 @@ def link_edges(pages: DataFrame, key: str = "key") -> DataFrame:
     refresh = F.col("tag").rlike(r"""(?i)^<meta\b[^>]*http-equiv\s*=\s*["']?refresh\b""")
     target = F.when(canonical, F.regexp_extract("tag", r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)).when(refresh, F.regexp_extract("tag", r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
     full = F.when(F.col("t").contains("://"), F.col("t")).when(F.col("t").startswith("//"), F.concat(F.lit("http:"), F.col("t"))).when(F.col("t").startswith("/"), F.concat(F.lit("http://"), F.col("host"), F.col("t")))
-    return tags.withColumn("t", target).select("u", same_page_key(*split_url(full)).alias("v"))
+    host, path, query = split_url(full)
+    return tags.withColumn("t", target).select("u", same_page_key(host, path, query).alias("v"), host.alias("host"), path.alias("path"))
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, redirects: DataFrame | None = None) -> DataFrame:
@@ -80,12 +81,17 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = Non
     edges = link_edges(base)
     if redirects is not None:
         ends = [same_page_key(*split_url(F.col(c))) for c in ("from_url", "to_url")]
-        edges = edges.union(redirects.select(ends[0].alias("u"), ends[1].alias("v")))
-    parts = connected_components(edges)
+        for (u, v), c in (((0, 1), "to_url"), ((1, 0), "from_url")):
+            host, path, _ = split_url(F.col(c))
+            edges = edges.union(redirects.select(ends[u].alias("u"), ends[v].alias("v"), host.alias("host"), path.alias("path")))
+    edges = materialize(edges.filter("u is not null and v is not null"), "links")
+    parts = connected_components(edges.select("u", "v"))
     judged = base.select("page_id", "host", "path", "rule", "_own", "key")
     judged = judged.join(parts, judged["key"] == parts["node"], "left").withColumn("component", F.coalesce("component", "key")).drop("node")
     judged = materialize(judged, "judged")
-    votes = judged.filter("_own is not null and component is not null").groupBy("component").agg(F.max(F.col("_own") == "allow").alias("_allow"))
+    # A link's target has a vote as well, whether or not it is among the pages.
+    targets = edges.join(parts, edges["v"] == parts["node"], "left").select(F.coalesce("component", "v").alias("component"), rule_of(F.col("host"), F.col("path"), rules or RULES)[1].alias("_own"))
+    votes = judged.select("component", "_own").union(targets).filter("_own is not null and component is not null").groupBy("component").agg(F.max(F.col("_own") == "allow").alias("_allow"))
     votes = votes.select(F.col("component").alias("_c"), "_allow")
     out = judged.join(votes, judged["component"] == votes["_c"], "left")
     method = F.when(F.col("_allow") == False, "block").otherwise("allow")  # noqa: E712
@@ -108,16 +114,18 @@ _KEY = r"""
 _HOST = "translate(regexp_extract({r}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract({r}, '^[^/?#]*([^?#]*)', 1)"
 _QUERY = r"regexp_extract({r}, '^[^?#]*\?([^#]*)', 1)"
+_RULE = """CASE WHEN ({h} = 'example.net' OR {h} LIKE '%.example.net') AND starts_with({p}, '/en/') THEN 'example.net/en/'
+         WHEN ({h} = 'example.com' OR {h} LIKE '%.example.com') AND starts_with({p}, '/de/') THEN 'example.com/de/'
+         WHEN ({h} = 'org' OR {h} LIKE '%.org') AND starts_with({p}, '/fr/') THEN 'org/fr/'
+         WHEN ({h} = 'net' OR {h} LIKE '%.net') AND starts_with({p}, '/') THEN 'net/' END"""
+_OWN = "CASE {r} WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow' END"
 SQL = f"""
 WITH RECURSIVE cut AS (SELECT page_id, url, html, {_PARTS.format(u="url")} AS rest FROM pages),
 base AS (
   SELECT page_id, html, {_HOST.format(r="rest")} AS host, {_PATH.format(r="rest")} AS path, {_QUERY.format(r="rest")} AS q FROM cut),
 ruled AS (
   SELECT page_id, html, host, path, {_KEY.format(h="host", p="path", q="q")} AS key,
-    CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
-         WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
-         WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
-         WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+    {_RULE.format(h="host", p="path")} AS rule
   FROM base),
 tags AS (SELECT key AS u, host, unnest(regexp_extract_all(html, '(?i)(<(?:link|meta)\\b[^>]*>)', 1)) AS tag FROM ruled),
 targets AS (
@@ -126,13 +134,15 @@ targets AS (
 fulls AS (SELECT u, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || host || t END AS f FROM targets),
 rests AS (SELECT u, {_PARTS.format(u="f")} AS rest FROM fulls WHERE f IS NOT NULL),
 ends AS (SELECT u, {_HOST.format(r="rest")} AS h, {_PATH.format(r="rest")} AS p, {_QUERY.format(r="rest")} AS q FROM rests),
-edges AS (SELECT u, v FROM (SELECT u, {_KEY.format(h="h", p="p", q="q")} AS v FROM ends) WHERE u IS NOT NULL AND v IS NOT NULL AND u <> v),
+links AS (SELECT u, v, rule FROM (SELECT u, {_KEY.format(h="h", p="p", q="q")} AS v, {_RULE.format(h="h", p="p")} AS rule FROM ends) WHERE u IS NOT NULL AND v IS NOT NULL),
+edges AS (SELECT u, v FROM links WHERE u <> v),
 both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
 reach AS (SELECT u AS node, u AS other FROM both_ways UNION SELECT r.node, b.v FROM reach r JOIN both_ways b ON r.other = b.u),
 parts AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
-placed AS (SELECT r.*, coalesce(p.component, r.key) AS component, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow' END AS own
+placed AS (SELECT r.*, coalesce(p.component, r.key) AS component, {_OWN.format(r="rule")} AS own
   FROM ruled r LEFT JOIN parts p ON r.key = p.node),
-votes AS (SELECT component, bool_or(own = 'allow') AS allowed FROM placed WHERE own IS NOT NULL AND component IS NOT NULL GROUP BY component)
+ballots AS (SELECT component, own FROM placed UNION ALL SELECT coalesce(p.component, l.v), {_OWN.format(r="rule")} FROM links l LEFT JOIN parts p ON l.v = p.node),
+votes AS (SELECT component, bool_or(own = 'allow') AS allowed FROM ballots WHERE own IS NOT NULL AND component IS NOT NULL GROUP BY component)
 SELECT page_id, host, path, rule, coalesce(own, CASE WHEN allowed = false THEN 'block' ELSE 'allow' END) AS verdict, key, p.component AS component
 FROM placed p LEFT JOIN votes v ON p.component = v.component
 """
