@@ -82,6 +82,10 @@ def log_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k == 0, first).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), k), F.struct(first.alias("t"), first.alias("s")), step, lambda a: a["s"]))
 
 
+def _below(value: Column):
+    return lambda c: c < value
+
+
 def thresholds(labelled: DataFrame, stratum: str, risk: float = RISK, delta: float = DELTA, grid: tuple[float, ...] = GRID) -> DataFrame:
     """(stratum, cut_<measure>...) from labelled documents (stratum, measures, good).
 
@@ -90,14 +94,17 @@ def thresholds(labelled: DataFrame, stratum: str, risk: float = RISK, delta: flo
     """
     good = labelled.filter("good")
     names = list(measures())
-    over = [F.sum(F.when(F.col(m) > c, 1).otherwise(0)).alias(f"{m}_{i}") for m in names for i, c in enumerate(grid)]
-    counts = good.groupBy(stratum).agg(F.count("*").alias("n"), *over)
+    # How many cutoffs each measure is over; counts of that give the rejections of every cutoff.
+    cuts = F.array(*map(F.lit, grid))
+    over = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.size(F.filter(cuts, _below(F.col(m)))).alias("over")) for m in names]))
+    cells = good.select(stratum, over.alias("x")).groupBy(stratum, "x.m", "x.over").agg(F.count("*").alias("n"))
+    counts = cells.groupBy(stratum, "m").agg(F.sum("n").alias("n"), F.collect_list(F.struct("over", "n")).alias("h"))  # as many entries as cutoffs, at most
     tried = good.agg(F.count_distinct(F.coalesce(F.col(stratum).cast("string"), F.lit("\0"))).alias("_strata"))
     share = risk / len(names)
     limit = F.lit(math.log(delta / (len(names) * len(grid)))) - F.log(F.col("_strata").cast("double"))
     counts = counts.join(F.broadcast(tried))  # one row
-    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(c).alias("c"), F.col(f"{m}_{i}").alias("k")) for m in names for i, c in enumerate(grid)]))
-    cells = counts.select(F.col(stratum), "n", "_strata", cells.alias("x")).select(stratum, "n", "_strata", "x.*")
+    each = counts.select(stratum, "m", "n", "_strata", "h", F.posexplode(cuts).alias("i", "c"))
+    cells = each.withColumn("k", F.aggregate(F.filter("h", lambda x: x["over"] > F.col("i")), F.lit(0).cast("long"), lambda a, x: a + x["n"]))
     # With rejections at or over the expected number the tail is never small; only fewer are summed.
     proven = cells.filter((F.col("k") < F.col("n") * share)).filter(log_tail(F.col("n"), F.col("k"), share) <= limit)
     cuts = [F.min(F.when(F.col("m") == m, F.col("c"))).alias(f"cut_{m}") for m in names]
