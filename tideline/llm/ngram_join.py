@@ -260,7 +260,10 @@ def _buckets(rare: DataFrame) -> DataFrame:
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
-    """Components of near-duplicate texts: key, doc_id, n_shingles, component_id.
+    """Components of near-duplicate texts: key, doc_id, n_shingles, component_id, part.
+
+    ``component_id`` is the least doc_id of a component; ``part`` tells
+    components apart also where a repeated doc_id names two of them.
 
     Null or wordless text: an empty set, linked with nothing, its own component.
     Null doc_id: linked by its text; its component is the least doc_id there, or
@@ -295,10 +298,10 @@ def similar_components(docs: DataFrame) -> DataFrame:
     placed = members.withColumnRenamed("key", "member").withColumnRenamed("rep", "key")
     placed = links._components(placed).select("member", "doc_id", "c")
     least = placed.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    place = placed.select("member", "c").distinct().join(least, "c").select(F.col("member").alias("key"), "component_id")
-    out = profile.select("key", "doc_id", "n").join(place, "key", "left")
+    place = placed.select("member", "c").distinct().join(least, "c").select(F.col("member").alias("key"), "component_id", F.col("c").alias("part"))
+    out = profile.select("key", "doc_id", "n").join(place, "key", "left").withColumn("part", F.coalesce("part", "key"))
     # Written out, so that the tables behind it can go.
-    out = materialize(out.select("key", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "components")
+    out = materialize(out.select("key", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "part"), "components")
     discard(profile, rare, sets, classes, members)
     return out
 
@@ -314,9 +317,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     full = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")) if repeated else F.col("doc_id").cast("long"))
     found = similar_components(docs).filter("n_shingles > 0")
     head = F.struct((~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("other"), F.col("key"))
-    place = F.coalesce("component_id", "key")
-    first = found.groupBy(place.alias("place")).agg(F.min(head).alias("h"))
-    gone = found.select("key", place.alias("place")).join(first, "place").filter("key <> h.key").select(F.col("key").alias("_key")).distinct()
+    first = found.groupBy("part").agg(F.min(head).alias("h"))
+    gone = found.select("key", "part").join(first, "part").filter("key <> h.key").select(F.col("key").alias("_key")).distinct()
     gone = materialize(gone, "gone")
     gone = F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone
     kept = full.join(gone, "_key", "left_anti")
