@@ -340,6 +340,7 @@ STRANGE = ["", " ", "a  b", "a b\n\nc", " a", "a ", "x\xa0 y", "\x1c a <|endofte
 @pytest.mark.parametrize(("name", "words"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
 def test_encoder_is_the_library(documents, name, words, monkeypatch):
     monkeypatch.setattr(tokenizing, "CACHE_PIECES", 500)
+    monkeypatch.setattr(tokenizing, "CACHE_SPACED", 500)
     ours, theirs = tokenizing.Encoder(tokenizing.tokenizer_path(name), words), library(name)
     texts = STRANGE + [t or "" for _, t, _ in documents[:60]]
     for k in range(0, len(texts), 7):

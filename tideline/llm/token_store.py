@@ -76,19 +76,21 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return level[0]
 
 
-_OBJECTS = "kind string, row_key string, doc_id long, seq int, digest binary, n_ids int, body binary, root binary, n_chunks int"
+_OBJECTS = "kind string, row_key string, doc_id long, chunks array<binary>, root binary, digest binary, body binary"
+#: Text encoded at a time: larger slices meet each distinct word less often.
+SLICE_BYTES = 4 << 20
 
 
 def encode_objects(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """A ``ref`` row for each chunk of each document, and a ``chunk`` row with the
-    compressed ids for each digest that is new to the task."""
+    """A ``recipe`` row for each document, with its chunk digests in order, and a ``chunk``
+    row with the compressed ids for each digest that is new to the task."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pack = encoder(path, False, "<u2"), zstandard.ZstdCompressor(level=1)
         seen, end = set(), end_id.to_bytes(2, "little")
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE_BYTES):
                 rows: list[tuple] = []
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 for doc, raw in zip(part.column("doc_id").to_pylist(), enc.encode(texts), strict=True):
@@ -98,12 +100,12 @@ def encode_objects(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFram
                     digests = [hashlib.sha256(b).digest()[:DIGEST_BYTES] for b in bodies]
                     root = merkle_root(digests)
                     key = f"{doc}:{root.hex()}"  # rows alike in id and text share it
-                    for i, (d, b) in enumerate(zip(digests, bodies, strict=True)):
-                        rows.append(("ref", key, doc, i, d, len(b) // 2, None, root, len(ends)))
+                    rows.append(("recipe", key, doc, digests, root, None, None))
+                    for d, b in zip(digests, bodies, strict=True):
                         if d not in seen:
                             seen.add(d)
-                            rows.append(("chunk", None, None, None, d, len(b) // 2, pack.compress(b), None, None))
-                kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int32())
+                            rows.append(("chunk", None, None, None, None, d, pack.compress(b)))
+                kinds = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _OBJECTS.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _OBJECTS)
@@ -117,15 +119,14 @@ def write_store(docs: DataFrame, out: str, path: str | None = None, end_id: int
     One shuffle carries the ids; a hot chunk crosses it once per task at most.
     """
     spark = docs.sparkSession
-    spread = F.when(F.col("kind") == "chunk", F.xxhash64("digest")).otherwise(F.xxhash64("row_key", "seq"))
+    spread = F.when(F.col("kind") == "chunk", F.xxhash64("digest")).otherwise(F.xxhash64("row_key"))
     objects = encode_objects(docs, path or tokenizer_path(VOCABULARY), end_id)
     # Rows are dealt by a hash, so a digest's chunk rows meet; all but one of them go.
     once = Window.partitionBy("_spread", "digest").orderBy("kind")
-    objects = objects.withColumn("_spread", spread).repartition("_spread").withColumn("_n", F.row_number().over(once)).filter("kind = 'ref' or _n = 1").drop("_spread", "_n")
+    objects = objects.withColumn("_spread", spread).repartition("_spread").withColumn("_n", F.row_number().over(once)).filter("kind = 'recipe' or _n = 1").drop("_spread", "_n")
     objects.write.partitionBy("kind").option("compression", "none").parquet(f"{out}/objects")
-    refs = _objects(spark, out, "ref")
-    recipes = refs.groupBy("row_key", "doc_id", "root", "n_chunks").agg(F.sort_array(F.collect_list(F.struct("seq", "digest"))).alias("chunks"))
-    recipes.select("doc_id", "row_key", "root", "n_chunks", "chunks").orderBy("doc_id", "row_key").write.parquet(f"{out}/recipes")
+    recipes = _objects(spark, out, "recipe").select("doc_id", "row_key", "root", "chunks")
+    recipes.orderBy("doc_id", "row_key").write.parquet(f"{out}/recipes")
     return out
 
 
@@ -156,7 +157,7 @@ def verified_chunks(spark: SparkSession, out: str, with_ids: bool = False) -> Da
 
 def _recipe_rows(spark: SparkSession, out: str) -> DataFrame:
     recipes = spark.read.parquet(f"{out}/recipes")
-    return recipes.select("doc_id", "row_key", "root", "n_chunks", F.explode("chunks").alias("c")).select("doc_id", "row_key", "root", "n_chunks", "c.seq", "c.digest")
+    return recipes.select("doc_id", "row_key", "root", F.size("chunks").alias("n_chunks"), F.posexplode("chunks").alias("seq", "digest"))
 
 
 def read_summaries(spark: SparkSession, out: str) -> DataFrame:

@@ -18,6 +18,8 @@ import numpy as np
 
 #: Pieces a worker remembers; the cache starts over when it is full.
 CACHE_PIECES = 800_000
+#: More of them where no other stage shares the worker.
+CACHE_SPACED = 1_200_000
 #: Pieces that go through the library as one text.
 JOINED = 64
 
@@ -89,7 +91,7 @@ class Encoder:
     def _learn(self, pieces: set[str]) -> None:
         known = self.known
         new = [p for p in pieces if p not in known]
-        if len(self.known) + len(new) > CACHE_PIECES:
+        if len(self.known) + len(new) > (CACHE_PIECES if self.words else CACHE_SPACED):
             self.known.clear()
             new = list(pieces)
         if self.words:
