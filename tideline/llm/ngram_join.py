@@ -114,7 +114,7 @@ def _may_link(x: str, y: str) -> Column:
 
 
 def _rarest(postings: DataFrame, limits: DataFrame, partners: int = 2) -> DataFrame:
-    """(key, n, m, shared, t): the rarest ``keep`` tokens of each key, those of them that occur with others.
+    """Written out: (key, n, m, shared, t), the rarest ``keep`` tokens of each key, those of them that occur with others.
 
     ``postings`` is (key, token); ``limits`` (key, n, m, keep): of a key's ``m``
     tokens, those that occur nowhere else are the rarest and use up their part.
@@ -126,7 +126,10 @@ def _rarest(postings: DataFrame, limits: DataFrame, partners: int = 2) -> DataFr
     sorted_ = common.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     joined = sorted_.join(limits.select("key", "n", "m", "keep"), "key")
     left = F.col("keep") - (F.col("m") - F.size("t"))
-    return joined.withColumn("left", left.cast("int")).filter("left > 0").select("key", "n", "m", F.size("t").alias("shared"), F.slice("t", F.lit(1), F.greatest("left", F.lit(0))).alias("t"))
+    rare = materialize(joined.withColumn("left", left.cast("int")).filter("left > 0").select("key", "n", "m", F.size("t").alias("shared"), F.slice("t", F.lit(1), F.greatest("left", F.lit(0))).alias("t")), "rare")
+    discard(frequency)
+    release_shuffles(postings.sparkSession)
+    return rare
 
 
 def _least_token(order: int) -> Column:
@@ -233,7 +236,7 @@ class _Links:
         n = F.col("n")
         keep = n - F.floor((PERCENT * n + 99) / 100) + 1
         rare = _rarest(sets.select("key", F.explode("tokens").alias("token")), sets.select("key", "n", n.alias("m"), keep.alias("keep")))
-        self.compare(self._every_pair(self._open(_buckets(self._components(materialize(rare, "rare"))), 0)))
+        self.compare(self._every_pair(self._open(_buckets(self._components(rare)), 0)))
 
 
 def _buckets(rare: DataFrame) -> DataFrame:
@@ -276,8 +279,10 @@ def similar_components(docs: DataFrame) -> DataFrame:
     keyed, repeated = _keyed(docs)
     profile = materialize(keyed.mapInArrow(_profile, "key long, doc_id long, n long, m long, keep long, prefix array<long>"), "profile")
     own = profile.dropDuplicates(["key"]) if repeated else profile
-    rare = materialize(_rarest(own.select("key", F.explode("prefix").alias("token")), own), "rare")
-    release_shuffles(spark)
+    rare = _rarest(own.select("key", F.explode("prefix").alias("token")), own)
+    slim = materialize(profile.select("key", "doc_id", "n"), "profile")
+    discard(profile)
+    profile = slim
     ids = rare.select("key")
     ids = F.broadcast(ids) if rare.count() * 16 <= BROADCAST_BYTES else ids
     texts = keyed.join(ids, "key", "left_semi").select("key", "doc_id", "text")
