@@ -39,7 +39,7 @@ EXTRA, EXTRA_SHARE = 48, 50
 #: Cheap rounds before the exact ones, and hash orders in each.
 SKETCH_ROUNDS, SKETCHES = 2, 4
 #: Rounds of one pivot per member; the pairs whose sizes are looked at without more rounds, in all and per row.
-ROUNDS, FEW_PAIRS, PAIRS_PER_ROW = 1, 20_000_000, 50
+ROUNDS, FEW_PAIRS, PAIRS_PER_ROW = 1, 300_000, 2
 #: Just over 100 / PERCENT, so that sizes which allow a link lie in one band or in neighbours.
 BAND = 1.2501
 #: Ids of documents with candidates: sent to every executor up to this many bytes, else joined by shuffle.
