@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Written out, so that the join reads two exchanges and Spark can split a hub.
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     moved = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.filter("u <> v").distinct()
+    return moved.filter("u <> v").distinct(), least
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -46,8 +47,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if _is_settled(now):
             break
-        after = materialize(_small_star(_large_star(now)), "edges")
-        discard(now)
+        moved, least = _large_star(now)
+        after = materialize(_small_star(moved), "edges")
+        discard(now, least)
         now = after
     else:
         raise RuntimeError("components did not settle")

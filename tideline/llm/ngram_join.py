@@ -184,18 +184,22 @@ class _Links:
                 rows = rows.join(degree, "key", "left")
                 rank = F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), F.xxhash64("key").alias("h"))
             heads = rows.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "key", "n", "c")).alias("f"), F.count("*").alias("size")).filter("size > 1")
-            heads = heads.select("bucket", "size", F.col("f.key").alias("p"), F.col("f.n").alias("pn"), F.col("f.c").alias("pc"))
+            # Written out, here and below, so that Spark can split a hot bucket in the join.
+            heads = materialize(heads.select("bucket", "size", F.col("f.key").alias("p"), F.col("f.n").alias("pn"), F.col("f.c").alias("pc")), "heads")
             near = 100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")
             pairs = rows.join(heads, "bucket").filter((F.col("c") != F.col("pc")) & near)
             self.compare(pairs.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct())
+            discard(heads)
 
     def _open(self, rows: DataFrame, r: int) -> DataFrame:
         """Rows (token, key, c, x) of the buckets that hold several components and a
         pair that may link, with the bucket's sizes and its pivot for round ``r``."""
         rank = F.struct((~F.col("x.strong")).alias("w"), F.xxhash64("key", F.lit(r)).alias("h") if r else F.col("key").alias("h"))
         heads = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.sum(F.col("x.strong").cast("long")).alias("strong"), F.min(F.struct(rank.alias("rank"), "key", "c", "x")).alias("f"))
-        heads = heads.filter("lo < hi and strong > 0").select("token", "size", "strong", F.col("f.key").alias("p"), F.col("f.x").alias("px"), F.col("f.c").alias("pc"))
-        return materialize(rows.join(heads, "token"), "buckets")
+        heads = materialize(heads.filter("lo < hi and strong > 0").select("token", "size", "strong", F.col("f.key").alias("p"), F.col("f.x").alias("px"), F.col("f.c").alias("pc")), "heads")
+        out = materialize(rows.join(heads, "token"), "buckets")
+        discard(heads)
+        return out
 
     @staticmethod
     def _every_pair(rows: DataFrame) -> DataFrame:
