@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,7 +50,9 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
-    made = f"file://{tempfile.mkdtemp(prefix='tideline-')}"
+    folder = tempfile.mkdtemp(prefix="tideline-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    made = f"file://{folder}"
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 

@@ -191,16 +191,24 @@ class _Links:
             self.compare(pairs.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct())
             discard(heads)
 
-    def _open(self, rows: DataFrame, r: int) -> DataFrame:
+    def _open(self, rows: DataFrame) -> DataFrame:
         """Rows (token, key, c, x) of the buckets that hold several components and a
-        pair that may link, with the bucket's sizes and its pivot for round ``r``."""
-        rank = F.struct((~F.col("x.strong")).alias("w"), F.xxhash64("key", F.lit(r)).alias("h") if r else F.col("key").alias("h"))
-        heads = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.sum(F.col("x.strong").cast("long")).alias("strong"), F.min(F.struct(rank.alias("rank"), "key", "c", "x")).alias("f"))
-        heads = materialize(heads.filter("lo < hi and strong > 0").select("token", "size", "strong", F.col("f.key").alias("p"), F.col("f.x").alias("px"), F.col("f.c").alias("pc")), "heads")
+        pair that may link, with the bucket's size and how many of its rows are strong."""
+        sums = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.sum(F.col("x.strong").cast("long")).alias("strong"))
+        heads = materialize(sums.filter("lo < hi and strong > 0").select("token", "size", "strong"), "heads")
         out = materialize(rows.join(heads, "token"), "buckets")
         discard(heads)
+        release_shuffles(self.spark)
         return out
 
+    def _to_pivots(self, rows: DataFrame) -> DataFrame:
+        """Pairs of each member with the pivot of its fullest bucket."""
+        first = F.min(F.struct((~F.col("x.strong")).alias("w"), "key", "c", "x")).alias("f")
+        heads = materialize(rows.groupBy("token").agg(first).select("token", F.col("f.key").alias("p"), F.col("f.x").alias("px"), F.col("f.c").alias("pc")), "heads")
+        near = rows.join(heads, "token").filter((F.col("c") != F.col("pc")) & _may_link("x", "px"))
+        pairs = near.groupBy("key").agg(F.min(F.struct((-F.col("size")).alias("s"), "p")).alias("f")).select("key", "f.p")
+        return pairs.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct()
+
     @staticmethod
     def _every_pair(rows: DataFrame) -> DataFrame:
         """Pairs of a bucket that may link; the smaller of the two must be strong."""
@@ -218,7 +226,7 @@ class _Links:
         """
         rows = _buckets(self._components(rare))
         for r in range(ROUNDS + 1):
-            now = self._open(rows, r)
+            now = self._open(rows)
             n, work = now.agg(F.count("*"), F.sum("strong")).first()
             if not n:
                 return None
@@ -228,9 +236,7 @@ class _Links:
                 return None
             if r == ROUNDS:
                 return now
-            near = now.filter((F.col("c") != F.col("pc")) & _may_link("x", "px"))
-            pairs = near.groupBy("key").agg(F.min(F.struct((-F.col("size")).alias("s"), "p")).alias("f")).select("key", "f.p")
-            self.compare(pairs.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct())
+            self.compare(self._to_pivots(now))
             rows = self._components(now.select("token", "key", "x"))
         return None
 
@@ -240,7 +246,7 @@ class _Links:
         n = F.col("n")
         keep = n - F.floor((PERCENT * n + 99) / 100) + 1
         rare = _rarest(sets.select("key", F.explode("tokens").alias("token")), sets.select("key", "n", n.alias("m"), keep.alias("keep")))
-        self.compare(self._every_pair(self._open(_buckets(self._components(rare)), 0)))
+        self.compare(self._every_pair(self._open(_buckets(self._components(rare)))))
 
 
 def _buckets(rare: DataFrame) -> DataFrame:
