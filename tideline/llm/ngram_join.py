@@ -312,7 +312,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
     placed = members.withColumnRenamed("key", "member").withColumnRenamed("rep", "key")
     placed = links._components(placed).select("member", "doc_id", "c")
-    least = placed.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    least = materialize(placed.groupBy("c").agg(F.min("doc_id").alias("component_id")), "least")
     place = placed.select("member", "c").distinct().join(least, "c").select(F.col("member").alias("key"), "component_id", F.col("c").alias("part"))
     out = profile.select("key", "doc_id", "n").join(place, "key", "left").withColumn("part", F.coalesce("part", "key"))
     # Written out, so that the tables behind it can go.
@@ -332,7 +332,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     full = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")) if repeated else F.col("doc_id").cast("long"))
     found = similar_components(docs).filter("n_shingles > 0")
     head = F.struct((~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("other"), F.col("key"))
-    first = found.groupBy("part").agg(F.min(head).alias("h"))
+    # Written out, so that Spark can split a large component in the join.
+    first = materialize(found.groupBy("part").agg(F.min(head).alias("h")), "first")
     gone = found.select("key", "part").join(first, "part").filter("key <> h.key").select(F.col("key").alias("_key")).distinct()
     gone = materialize(gone, "gone")
     gone = F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone
