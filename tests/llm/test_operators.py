@@ -128,6 +128,20 @@ def test_join_matches_brute_force(spark, monkeypatch, few):
         assert sorted(x.doc_id for x in ngram_join.one_of_each(df).collect()) == sorted({c for _, c in want.values()})
 
 
+@pytest.mark.parametrize("few", [20_000_000, -(10**9)])
+def test_join_links_across_prefix_sizes(spark, monkeypatch, few):
+    """Sets of at most 62 shingles, which their extended prefixes cover, inside ones that go beyond theirs."""
+    monkeypatch.setattr(ngram_join, "SKETCH_ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "FEW_PAIRS", few)
+    texts = []
+    for k, (small, large) in enumerate([(62, 77), (62, 63), (61, 76), (60, 75), (58, 72), (55, 68), (51, 63), (50, 62), (63, 78), (64, 80), (62, 78)] * 6):
+        words = [f"p{k}w{i}" for i in range(large + 4)]
+        texts += [" ".join(words), " ".join(words[: small + 4])]
+    docs = list(enumerate(texts))
+    want = brute_components(docs)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.similar_components(spark.createDataFrame(docs, SCHEMA)).collect()} == want
+
+
 def test_join_on_documents(spark, data, documents):
     want = brute_components([d[:2] for d in documents])
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in QUERIES["op1_ngram_jaccard_join"](spark, data).collect()} == want

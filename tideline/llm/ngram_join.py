@@ -246,16 +246,18 @@ class _Links:
         n = F.col("n")
         keep = n - F.floor((PERCENT * n + 99) / 100) + 1
         rare = _rarest(sets.select("key", F.explode("tokens").alias("token")), sets.select("key", "n", n.alias("m"), keep.alias("keep")))
-        self.compare(self._every_pair(self._open(_buckets(self._components(rare)))))
+        self.compare(self._every_pair(self._open(_buckets(self._components(rare), whole=True))))
 
 
-def _buckets(rare: DataFrame) -> DataFrame:
+def _buckets(rare: DataFrame, whole: bool = False) -> DataFrame:
     """(token, key, c, x) with tokens told apart by size: sets whose sizes allow a link share a bucket.
 
     ``x`` holds what :func:`_may_link` reads, and whether the row can be the
     smaller set of a linked pair: with sets of its size or more it shares
     ``2 * PERCENT / (100 + PERCENT)`` of its tokens at least, so as much must be
-    left from the shared token on.
+    left from the shared token on. ``whole``: every ``m`` is the size of a whole
+    set. Otherwise a set that its extended prefix covers may still have a larger
+    partner that reaches beyond its own.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(BAND)))
     each = rare.select("key", "n", "m", "c", "shared", band.alias("band"), F.posexplode("t.token").alias("i", "t"))
@@ -264,8 +266,7 @@ def _buckets(rare: DataFrame) -> DataFrame:
     most = F.floor(F.col("n") * 100 / PERCENT).cast("int")
     need = F.floor((PERCENT * most + 99) / 100).cast("int")
     extra = F.least(need - 1, EXTRA + F.floor(most / EXTRA_SHARE).cast("int"))
-    gap = F.when(F.col("m") < F.col("n"), F.least(F.lit(0), (most - need + 1 + extra) - most)).otherwise(0)
-    gap = F.least(gap, (F.col("m") - F.col("n")).cast("int"))
+    gap = F.lit(0) if whole else F.least(F.lit(0), (most - need + 1 + extra) - most, (F.col("m") - F.col("n")).cast("int"))
     strong = (100 + PERCENT) * (left - gap) >= 2 * PERCENT * F.col("n")
     x = F.struct(F.col("n").cast("int").alias("n"), F.col("m").cast("int").alias("m"), left.alias("rest"), strong.alias("strong"))
     both = F.explode(F.array(F.xxhash64("t", "band"), F.xxhash64("t", F.col("band") + 1)))
