@@ -2,9 +2,10 @@
 
 The CRF tags the tokens of a text as begin, inside or outside of a secret from
 their shape, the words beside them and features of the whole file, and decodes
-by Viterbi. Tokens outside a run of secret-like characters with a digit in it
-can only be outside (a structural zero of the model), so decoding each such run
-between outside tokens gives the best path of the whole text.
+by Viterbi. Every run of secret-like characters is scored, short ones and ones
+without a digit too. What stands between runs can only be outside (a structural
+zero of the model), so decoding each run between outside tokens gives the best
+path of the whole text. Runs with the same features share one decoding.
 
 The model is trained here, by stochastic gradient ascent on the exact
 likelihood, on generated lines of code, configuration and prose; it depends on
@@ -37,11 +38,13 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # a leftmost match is a whole run of that length or more
 _RUN = re.compile(r"[A-Za-z0-9+/_.=~-]+")
-_DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[A-Za-z0-9]+|.")
 _WORD = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]")
-_RUN_CHARS = frozenset(string.ascii_letters + string.digits + "+/_.=~-")
-MIN_RUN, MAX_RUN = 10, 512
+_NEXT = re.compile(r"[^\S\n]*([A-Za-z0-9_]+|[^\sA-Za-z0-9_])")
+#: The shortest run that is scored; the tokens of a block.
+MIN_RUN, MAX_RUN = 1, 512
+#: Runs and decodings a worker remembers; runs of more characters are not kept.
+CACHE_RUNS, CACHE_CHARS = 100_000, 64
 #: Words whose presence beside a token matters, as fixed values.
 HINTS = frozenset("auth authorization bearer basic key keys apikey token tokens secret secrets password passwd pass pwd credential credentials access private client session cookie sig signature".split())
 
@@ -63,26 +66,33 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
 
 
 def secret_runs(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of secret-like characters that hold a digit."""
-    at = 0
-    while m := _DIGIT.search(text, at):
-        start = m.start()
-        while start > at and text[start - 1] in _RUN_CHARS:
-            start -= 1
-        at = _RUN.match(text, start).end()
-        if at - start >= MIN_RUN:
-            yield start, at
+    """Runs of secret-like characters."""
+    for m in _RUN.finditer(text):
+        if m.end() - m.start() >= MIN_RUN:
+            yield m.span()
+
+
+_CLASSES = str.maketrans(string.ascii_uppercase + string.ascii_lowercase + string.digits, "A" * 26 + "a" * 26 + "0" * 10)
+_SAME = re.compile(r"(.)\1+", re.DOTALL)
 
 
 def _shape(token: str) -> str:
-    classes = ["A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else c for c in token]
-    return "".join(c for i, c in enumerate(classes) if i == 0 or classes[i - 1] != c)[:6]
+    return _SAME.sub(r"\1", token.translate(_CLASSES))[:6]
+
+
+@functools.lru_cache(CACHE_RUNS)
+def _bits(counts: tuple[int, ...]) -> int:
+    n = sum(counts)
+    return round(-2 * sum(k / n * math.log2(k / n) for k in counts))
+
+
+def _counts(token: str) -> tuple[int, ...]:
+    return tuple(sorted(map(token.count, set(token))))
 
 
 def _mix(token: str) -> int:
     """Bits of character entropy, rounded to halves."""
-    n = len(token)
-    return round(-2 * sum(k / n * math.log2(k / n) for k in (token.count(c) for c in set(token))))
+    return _bits(_counts(token))
 
 
 def file_features(text: str) -> tuple[str, ...]:
@@ -96,36 +106,56 @@ def run_tokens(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return [(start + m.start(), start + m.end()) for m in _TOKEN.finditer(text[start:end])]
 
 
-def features(text: str, start: int, end: int, tokens: list[tuple[int, int]], of_file: tuple[str, ...]) -> list[list[str]]:
-    """Feature names of each token of a run."""
+@functools.lru_cache(CACHE_RUNS)
+def _is_hint(word: str) -> bool:
+    low = word.lower()
+    return low in HINTS or any(h in low for h in ("key", "token", "secret", "passw"))
+
+
+@functools.lru_cache(CACHE_RUNS)
+def _shown(word: str) -> str:
+    return word.lower() if word.lower() in HINTS else "w" if word.isalnum() else word
+
+
+def context(text: str, start: int, end: int) -> tuple[bool, str, str, str]:
+    """Whether a hint stands before a run, the last two words before it, and the sign after it."""
     left = _WORD.findall(text[max(0, start - 48) : start].rsplit("\n", 1)[-1])[-4:]
-    right = _WORD.findall(text[end : end + 24].split("\n", 1)[0])[:1]
-    before = [w.lower() if w.lower() in HINTS else (w if not w.isalnum() else "w") for w in left]
-    hint = any(w.lower() in HINTS or any(h in w.lower() for h in ("key", "token", "secret", "passw")) for w in left)
-    whole = text[start:end]
-    digits = sum(c.isdigit() for c in whole)
-    run = [
+    right = _NEXT.match(text, end, end + 24)
+    after = "$" if right is None else "w" if right[1].isalnum() else right[1]
+    return any(map(_is_hint, left)), _shown(left[-1]) if left else "^", _shown(left[-2]) if len(left) > 1 else "^", after
+
+
+def own_features(whole: str, tokens: list[str]) -> tuple[tuple[str, ...], ...]:
+    """Feature names that a run has wherever it stands: of the run, those told apart by a hint, and of each token."""
+    digits, shape = sum(c.isdigit() for c in whole) * 5 // len(whole), _shape(whole)
+    alpha = any(c.isalpha() for c in whole)
+    run = (
         f"run:len={min(len(whole) // 6, 8)}",
         f"run:mix={_mix(whole)}",
-        f"run:digits={digits * 5 // len(whole)}",
-        f"run:shapes={min(len(_shape(whole)), 6)}",
-        f"run:alpha={any(c.isalpha() for c in whole)}",
+        f"run:digits={digits}",
+        f"run:shapes={min(len(shape), 6)}",
+        f"run:alpha={alpha}",
         f"run:both={any(c.isupper() for c in whole) and any(c.islower() for c in whole)}",
-        f"hint={hint}",
-        f"hint={hint}|alpha={any(c.isalpha() for c in whole)}|digits={digits * 5 // len(whole)}",
-        "l1=" + (before[-1] if before else "^"),
-        "l2=" + (before[-2] if len(before) > 1 else "^"),
-        "r1=" + (right[0] if right and not right[0].isalnum() else "w" if right else "$"),
-        *of_file,
+    )
+    hinted = (f"alpha={alpha}|digits={digits}", f"shape={shape}", f"len={min(len(whole) // 3, 9)}")
+    shapes = ["^", *map(_shape, tokens), "$"]
+    each = [
+        (f"len={min(len(t) // 4, 8)}", f"shape={shapes[k + 1]}", f"mix={_mix(t)}", f"first={k == 0}", f"known={t.lower() in HINTS}", f"prev={shapes[k]}", f"next={shapes[k + 2]}")
+        for k, t in enumerate(tokens)
     ]
-    out = []
-    for k, (a, b) in enumerate(tokens):
-        token = text[a:b]
-        own = [f"len={min(len(token) // 4, 8)}", f"shape={_shape(token)}", f"mix={_mix(token)}", f"first={k == 0}", f"known={token.lower() in HINTS}"]
-        own.append("prev=" + (_shape(text[tokens[k - 1][0] : tokens[k - 1][1]]) if k else "^"))
-        own.append("next=" + (_shape(text[tokens[k + 1][0] : tokens[k + 1][1]]) if k + 1 < len(tokens) else "$"))
-        out.append(run + own)
-    return out
+    return run, hinted, *each
+
+
+def named(own: tuple[tuple[str, ...], ...], at: tuple[bool, str, str, str], of_file: tuple[str, ...]) -> list[list[str]]:
+    """Feature names of each token of a run at its place."""
+    hint, last, before, after = at
+    run = [*own[0], f"hint={hint}", *(f"hint={hint}|{x}" for x in own[1]), f"l1={last}", f"l2={before}", f"r1={after}", *of_file]
+    return [run + list(x) for x in own[2:]]
+
+
+def features(text: str, start: int, end: int, tokens: list[tuple[int, int]], of_file: tuple[str, ...]) -> list[list[str]]:
+    """Feature names of each token of a run."""
+    return named(own_features(text[start:end], [text[a:b] for a, b in tokens]), context(text, start, end), of_file)
 
 
 class Model:
@@ -135,6 +165,10 @@ class Model:
         self.weights: dict[str, np.ndarray] = {}
         self.move = np.zeros((3, 3))
         self.move[OUTSIDE, INSIDE] = _FORBIDDEN
+        self.runs: dict[str, tuple] = {}
+        self.kinds: dict[tuple | str, tuple] = {}
+        self.names: dict[tuple, int] = {}
+        self.paths: dict[tuple, list[int]] = {}
 
     def scores(self, names: list[list[str]]) -> np.ndarray:
         zero = np.zeros(3)
@@ -155,6 +189,23 @@ class Model:
             path.append(int(step[path[-1]]))
         return path[::-1]
 
+    def path(self, whole: str, at: tuple[bool, str, str, str], of_file: tuple[str, ...]) -> list[int]:
+        """The best path of a short run, decoded once for each set of features."""
+        known = self.runs.get(whole)
+        if known is None:
+            if len(self.runs) >= CACHE_RUNS or len(self.paths) >= CACHE_RUNS:
+                self.runs, self.kinds, self.names, self.paths = {}, {}, {}, {}
+            # All that the features of a run of letters depend on.
+            kind = (len(whole), _shape(whole), _counts(whole), whole.lower() in HINTS) if whole.isalpha() else whole
+            if (known := self.kinds.get(kind)) is None:
+                own = own_features(whole, _TOKEN.findall(whole))
+                known = self.kinds[kind] = self.names.setdefault(own, len(self.names)), own
+            self.runs[whole] = known
+        key = (known[0], at, of_file)
+        if (found := self.paths.get(key)) is None:
+            found = self.paths[key] = self.decode(named(known[1], at, of_file))
+        return found
+
     def learn(self, names: list[list[str]], gold: list[int], rate: float) -> None:
         """One step up the log-likelihood of ``gold``, by forward and backward sums."""
         s, n = self.scores(names), len(names)
@@ -185,7 +236,23 @@ def training_line(r: random.Random) -> tuple[str, tuple[int, int] | None]:
     low, up, num, mixed = string.ascii_lowercase, string.ascii_uppercase, string.digits, string.ascii_letters + string.digits
     word = lambda: pick(low, 2, 9)
     prose = " ".join(word() for _ in range(r.randint(2, 8)))
-    if r.random() < 0.5:
+    camel = lambda a, b: "".join(pick(low, 3, 8).title() for _ in range(r.randint(a, b)))
+    hint = lambda: r.choice(["auth", "Bearer", "credentials", "client_key", "private_key", "access", "pwd", "pass", "passwd", "password", "secret", "token", "session", "Authorization: Bearer", "key", "signature"])
+    glue = r.choice([" = ", "=", ": ", " ", ' = "', ": '", " := "])
+    lead = r.choice(["", prose + " ", "export ", "  "])
+    if r.random() < 0.15:
+        # Short secrets and ones without a digit, told by what stands before them.
+        secret = r.choice([
+            lambda: pick(low, 1, 2) + pick(up, 1, 2) + pick(mixed, 3, 5) + r.choice(num) + pick(low, 0, 2),
+            lambda: pick(up, 1, 2) + pick(low, 1, 2) + r.choice(num) + pick(mixed, 3, 6),
+            lambda: pick(low, 3, 8) + camel(2, 4),
+            lambda: pick(low, 16, 16),
+            lambda: pick(low, 16, 24),
+            lambda: pick(low + up, 18, 44),
+        ])()
+        head = f"{lead}{hint()}{glue}"
+        return head + secret + r.choice(["", '"', "'", ";", "\n", " " + prose]), (len(head), len(head) + len(secret))
+    if r.random() < 0.4:
         secret = r.choice([
             lambda: pick(mixed, 20, 44),
             lambda: f"{pick(low, 2, 4)}_{pick(mixed, 24, 40)}",
@@ -198,8 +265,6 @@ def training_line(r: random.Random) -> tuple[str, tuple[int, int] | None]:
         while not any(c.isdigit() for c in secret) or not any(c.isalpha() for c in secret):
             secret += r.choice(num + low)
         name = r.choice(["auth", "Bearer", "credentials", "client_key", "private_key", "access", "pwd", "session", "Authorization: Bearer", "key", "signature", word(), prose])
-        glue = r.choice([" = ", "=", ": ", " ", ' = "', ": '", " := "])
-        lead = r.choice(["", prose + " ", "export ", "  "])
         head = f"{lead}{name}{glue}"
         return head + secret + r.choice(["", '"', "'", ";", "\n", " " + prose]), (len(head), len(head) + len(secret))
     other = r.choice([
@@ -215,6 +280,10 @@ def training_line(r: random.Random) -> tuple[str, tuple[int, int] | None]:
         lambda: f"{word()}{word()}{r.randint(1, 9999)}",
         lambda: f"{word()}_{word()}_{r.randint(1, 99)}",
         lambda: f"{r.randint(0, 10**9)}.{r.randint(0, 10**9)}",
+        lambda: f"{hint()}{glue}{word()}",
+        lambda: f"{hint()} {prose}",
+        lambda: f"{hint()}{glue}{r.choice(['None', 'null', 'true', 'False', word().title(), word().upper(), word() + camel(1, 2) + '(', word() + '_' + word() + '('])}",
+        lambda: r.choice([word().title(), word().upper(), camel(2, 3), word() + camel(1, 3), pick(low, 10, 22), f"{word()}-{word()}"]),
         lambda: "-" * r.randint(5, 30) + f"{r.randint(1, 9)}" + "-" * r.randint(5, 30),
     ])()
     return f"{prose}{r.choice([' ', ': ', ' = ', ', '])}{other}{r.choice([' ', '. ', chr(10)])}{prose}", None
@@ -227,6 +296,9 @@ def trained(seed: int = SEED, lines: int = TRAIN_LINES, epochs: int = EPOCHS) ->
         line, secret = training_line(r)
         file = (f"file:code={r.randint(0, 4)}", f"file:lines={r.randint(0, 4)}")
         for start, end in secret_runs(line):
+            at = context(line, start, end)
+            if not (secret and secret[0] <= start < secret[1]) and not at[0] and line[start:end].isalpha() and r.random() < 0.7:
+                continue  # plain words abound
             tokens = run_tokens(line, start, end)
             inside = [bool(secret) and secret[0] <= a and b <= secret[1] for a, b in tokens]
             gold = [OUTSIDE if not x else INSIDE if i and inside[i - 1] else BEGIN for i, x in enumerate(inside)]
@@ -239,15 +311,19 @@ def trained(seed: int = SEED, lines: int = TRAIN_LINES, epochs: int = EPOCHS) ->
 
 
 def crf_spans(text: str, model: Model) -> list[tuple[int, str, int]]:
-    of_file, out = None, []
+    of_file, out = file_features(text), []
     for start, end in secret_runs(text):
-        of_file = of_file or file_features(text)
-        tokens = run_tokens(text, start, end)
-        path: list[int] = []
-        # A run without end is decoded in blocks, so memory stays bounded.
-        for k in range(0, len(tokens), MAX_RUN):
-            block = tokens[k : k + MAX_RUN]
-            path += model.decode(features(text, block[0][0], block[-1][1], block, of_file))
+        if end - start <= CACHE_CHARS:
+            path = model.path(text[start:end], context(text, start, end), of_file)
+            if not any(path):
+                continue
+            tokens = run_tokens(text, start, end)
+        else:
+            tokens, path = run_tokens(text, start, end), []
+            # A run without end is decoded in blocks, so memory stays bounded.
+            for k in range(0, len(tokens), MAX_RUN):
+                block = tokens[k : k + MAX_RUN]
+                path += model.decode(features(text, block[0][0], block[-1][1], block, of_file))
         at = None
         for (a, b), tag in zip([*tokens, (end, end)], [*path, OUTSIDE], strict=True):
             if at is not None and tag != INSIDE:
