@@ -464,6 +464,21 @@ def test_pieces(spark, data, documents, odd):
     assert {x.doc_id: x.text for x in back.collect()} == {d: t or "" for d, t in ODD[:5]}
 
 
+def test_pieces_vary_by_document_and_place(monkeypatch):
+    """A repeated word is cut in many ways, within a document and between documents, as each candidate's own draw says."""
+    own = pieces.Pieces(pieces.tokenizer_path(pieces.MODEL), 0.1, 1, 0, 2)
+    assert len({own.encode("international", d) for d in range(300)}) > 10
+    text, one = " ".join(["international"] * 300), len(own.encode("international", 0))
+    assert len(own.encode(text, 0)) != len(own.encode(text, 1)) and len(own.encode(text, 0)) % one
+    # Remembered cuts are those made anew.
+    sample = [text, "a\nb internationally unbelievable", " x  y \n z", "\u65e5\u672c\u8a9e text", "verylongword" * 30, "\u2581 a\u2581b"]
+    first = [own.encode(t, d) for t in sample for d in (5, 6)]
+    monkeypatch.setattr(pieces, "MASK_BITS", -1)
+    fresh = pieces.Pieces(pieces.tokenizer_path(pieces.MODEL), 0.1, 1, 0, 2)
+    assert first == [fresh.encode(t, d) for t in sample for d in (5, 6)]
+    assert [own.decode(x) for x in first] == [t for t in sample for _ in (5, 6)]
+
+
 # -- 9
 def test_revisits(spark):
     h = {"ETag": "e", "Server": "s"}

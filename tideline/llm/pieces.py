@@ -1,11 +1,12 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 A merge-type model joins the best-scored adjacent pair first. Here every
-candidate on the agenda is first put to a keyed hash of (seed, epoch, variant,
-word, place): with probability ``dropout`` it is skipped for good, as though
-the pair could not be joined. Without dropout the ids are the library's own.
-Segmentations vary between variants (drawn per document), epochs and seeds, are
-the same in every run, and all decode to the text.
+candidate on the agenda is first put to a keyed hash of (seed, epoch, document,
+place of the word in it, place in the word): with probability ``dropout`` it is
+skipped for good, as though the pair could not be joined. Without dropout the
+ids are the library's own. Segmentations vary between occurrences, documents,
+epochs and seeds, are the same in every run, and all decode to the text. What a
+worker remembers of a word is its candidates, and its cuts by what is skipped.
 """
 
 from __future__ import annotations
@@ -22,12 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, table, text_slices
+from .shingles import _mix
 from .tokenizing import tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 17, 2
-#: Words a worker remembers; the cache starts over when it is full.
-CACHE_WORDS = 1_000_000
+#: Words, and cuts of them, that a worker remembers; the cache starts over when it is full.
+CACHE_WORDS = 300_000
+#: Candidates of a word whose skips fit a mask; words of more are cut anew each time.
+MASK_BITS = 63
 SPACE = "▁"
 _GAPS = re.compile(" +[^ ]*")
 _loaded: dict[tuple, "Pieces"] = {}
@@ -59,14 +63,19 @@ class Pieces:
         self.crossing = any(SPACE in p.lstrip(SPACE) for p in self.rank)
         self.key = f"{seed}:{epoch}:"
         self.limit = int(dropout * (1 << 32))
-        self.variants = variants
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.longest = max(map(len, self.rank), default=1)
+        #: Of a word: its candidates' hashes of place, and its cuts by mask of those skipped.
+        self.known: dict[str, tuple[np.ndarray | None, dict[int, bytes]]] = {}
+        self.cuts = 0
 
-    def cut(self, word: str, variant: int) -> list[int]:
-        """Ids of one word, whose spaces are ``SPACE`` already."""
+    @staticmethod
+    def _place(a, c):
+        return (a * 0x9E3779B1 + c * 0x85EBCA77) & 0xFFFFFFFF
+
+    def cut(self, word: str, base: int) -> list[int]:
+        """Ids of one word, whose spaces are ``SPACE`` already; ``base`` is the hash of its place."""
         n, rank, limit = len(word), self.rank, self.limit
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        base = zlib.crc32(f"{self.key}{variant}:{word}".encode("utf-8", "surrogatepass")) if limit else 0
         agenda = []
         for i in range(n - 1):
             if found := rank.get(word[i : i + 2]):
@@ -78,7 +87,7 @@ class Pieces:
             if end[a] != b or b >= n or end[b] != c:
                 continue  # one of the two has changed since
             if limit:
-                x = (base ^ (a * 0x9E3779B1 + c * 0x85EBCA77)) & 0xFFFFFFFF
+                x = base ^ self._place(a, c)
                 x = ((x ^ x >> 16) * 0x7FEB352D) & 0xFFFFFFFF
                 x = ((x ^ x >> 15) * 0x846CA68B) & 0xFFFFFFFF
                 if (x ^ x >> 16) < limit:
@@ -100,37 +109,84 @@ class Pieces:
             i = end[i]
         return ids
 
-    def _word(self, word: str, variant: int) -> bytes:
+    def _word(self, word: str, base: int) -> bytes:
         """A space and what follows it up to the next; or a line break and what follows it."""
         if SPACE in word:  # the sign itself, told apart from a space by its bytes
             ids: list[int] = []
             for k, part in enumerate(word.split(SPACE)):
                 if k:
                     ids += [self.byte_id[b] for b in SPACE.encode()]
-                ids += self.cut(part.replace(" ", SPACE), variant)
+                ids += self.cut(part.replace(" ", SPACE), base ^ zlib.crc32(b"%d" % k))
         elif word[:1] == "\n":
-            ids = [self.byte_id[10], *self.cut(word[1:], variant)]
+            ids = [self.byte_id[10], *self.cut(word[1:], base)]
         else:
-            ids = self.cut(word.replace(" ", SPACE), variant)
+            ids = self.cut(word.replace(" ", SPACE), base)
         return np.array(ids, "<u2").tobytes()
 
-    def encode(self, text: str, variant: int = 0) -> bytes:
-        """16-bit little-endian ids of a text, a space put before it as the model does."""
+    def _candidates(self, word: str) -> np.ndarray | None:
+        """Hashed places of all that the agenda may hold of a word; None if they are too many for a mask."""
+        if SPACE in word:
+            return None
+        inner = word[1:] if word[:1] == "\n" else word.replace(" ", SPACE)
+        found = []
+        for a in range(len(inner) - 1):
+            for c in range(a + 2, min(len(inner), a + self.longest) + 1):
+                if inner[a:c] in self.rank:
+                    found.append(self._place(a, c))
+            if len(found) > MASK_BITS:
+                return None
+        return np.array(found, np.uint32)
+
+    def _bases(self, n: int, draw: int) -> np.ndarray:
+        """A hash for each place of a word in the document ``draw``."""
+        x = np.arange(n, dtype=np.uint64) + np.uint64(zlib.crc32(f"{self.key}{draw}".encode())) * np.uint64(1 << 32)
+        return (_mix(_mix(x) ^ np.uint64(draw & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(32)).astype(np.uint32)
+
+    def encode(self, text: str, draw: int = 0) -> bytes:
+        """16-bit little-endian ids of a text, a space put before it as the model does; ``draw`` stands for the document."""
         if not text:
             return b""
-        known = self.known[variant]
         if self.crossing:
-            return self._word(" " + text, variant)
+            return self._word(" " + text, int(self._bases(1, draw)[0]))
         if "  " in text or " \n" in text or text[0] == " ":
-            return b"".join(self._word(w, variant) for w in _GAPS.findall(" " + text))
-        words = text.replace("\n", " \n").split(" ")
-        new = [w for w in set(words) if w not in known]
-        if len(known) + len(new) > CACHE_WORDS // self.variants:
-            known.clear()
-            new = list(set(words))
-        for w in new:
-            known[w] = self._word(w if w[:1] == "\n" else " " + w, variant)
-        return b"".join(map(known.__getitem__, words))
+            words = _GAPS.findall(" " + text)
+        else:
+            words = [w if w[:1] == "\n" else " " + w for w in text.replace("\n", " \n").split(" ")]
+        if self.cuts > CACHE_WORDS:
+            self.known, self.cuts = {}, 0
+        own, known = [], self.known
+        for w in words:
+            if (x := known.get(w)) is None:
+                x = known[w] = self._candidates(w), {}
+                self.cuts += 1
+            own.append(x)
+        bases = self._bases(len(words), draw)
+        masks = self._masks([x[0] for x in own], bases)
+        out = []
+        for w, (places, cuts), mask, base in zip(words, own, masks, bases.tolist(), strict=True):
+            if places is None:
+                out.append(self._word(w, base))
+                continue
+            if (found := cuts.get(mask)) is None:
+                found = cuts[mask] = self._word(w, base)
+                self.cuts += 1
+            out.append(found)
+        return b"".join(out)
+
+    def _masks(self, places: list[np.ndarray | None], bases: np.ndarray) -> list[int]:
+        """Which of its candidates each word skips, as bits."""
+        sizes = np.array([0 if p is None else len(p) for p in places])
+        full = np.flatnonzero(sizes)
+        out = np.zeros(len(places), np.int64)
+        if self.limit and len(full):
+            sizes = sizes[full]
+            begins = np.cumsum(sizes) - sizes
+            x = np.concatenate([places[i] for i in full]) ^ np.repeat(bases[full], sizes)
+            x = (x ^ x >> np.uint32(16)) * np.uint32(0x7FEB352D)
+            x = (x ^ x >> np.uint32(15)) * np.uint32(0x846CA68B)
+            skipped = ((x ^ x >> np.uint32(16)) < self.limit).astype(np.int64)
+            out[full] = np.add.reduceat(skipped << (np.arange(len(x)) - np.repeat(begins, sizes)), begins)
+        return out.tolist()
 
     def decode(self, raw: bytes) -> str:
         found = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(raw, "<u2").tolist()))
@@ -153,7 +209,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, dropout: float =
     little-endian integers), text_sha256 (of the decoded text), lossless, and
     ids if asked for.
 
-    Null or empty text: no pieces, lossless. Null doc_id: variant of the hash of
+    Cuts are drawn for each doc_id and place of a word; ``variant`` is one of
+    ``variants`` groups that documents fall into by the same hash.
+
+    Null or empty text: no pieces, lossless. Null doc_id: drawn by the hash of
     null. Repeated rows: a row each, all alike. Empty table: no rows. Other
     columns are ignored. Texts of any length are encoded whole.
     """
@@ -165,8 +224,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, dropout: float =
         for batch in batches:
             for part in text_slices(batch):
                 rows = []
-                for doc, text, variant in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "variant")), strict=True):
-                    raw = own.encode(text or "", variant)
+                for doc, text, variant, draw in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "variant", "draw")), strict=True):
+                    raw = own.encode(text or "", draw)
                     back = own.decode(raw) if raw else ""
                     ids = np.frombuffer(raw, "<u2")
                     rows.append((doc, variant, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), hashlib.sha256(back.encode("utf-8", "replace")).hexdigest(), back == (text or ""), ids.astype(np.int32)))
@@ -175,8 +234,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, dropout: float =
                 arrays = [pa.array(list(c), k) for c, k in zip(list(zip(*rows, strict=True))[:width], kinds, strict=False)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "variant", "n_pieces", "ids_crc32", "text_sha256", "lossless", "ids"][:width])
 
-    variant = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(variants)).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), variant.alias("variant"))
+    draw = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.pmod(draw, F.lit(variants)).cast("int").alias("variant"), draw.alias("draw"))
     return rows.mapInArrow(run, "doc_id long, variant int, n_pieces long, ids_crc32 long, text_sha256 string, lossless boolean" + (", ids array<int>" if with_ids else ""))
 
 
