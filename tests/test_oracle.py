@@ -21,6 +21,11 @@ def test_gives_rows(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
 
 
+def test_explodes_every_vector(spark, data, con):
+    (want,) = con.execute("SELECT count(DISTINCT vec_id) FROM embeddings").fetchone()
+    assert QUERIES["repeated_explode_all"](spark, data).select("vec_id").distinct().count() == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -96,6 +96,7 @@ PAIRS: dict[str, tuple[str, str]] = {
         SELECT make_timestamp(w) AS time, sum(value) / count(value) > 50 AS high FROM g LEFT JOIN events ON epoch_us(ts) >= w AND epoch_us(ts) < w + 86400000000 GROUP BY w"""),
     "within_record_sum": ("SELECT vec_id, round(sum(embedding) WITHIN RECORD, 4) AS s, count(embedding) WITHIN RECORD AS n, max(embedding) WITHIN RECORD AS hi FROM embeddings", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS s, len(embedding) AS n, list_max(embedding) AS hi FROM embeddings"),
     "repeated_explode": ("SELECT vec_id, embedding FROM embeddings WHERE vec_id < 20", "SELECT vec_id, unnest(embedding) AS embedding FROM embeddings WHERE vec_id < 20"),
+    "repeated_explode_all": ("SELECT vec_id, embedding FROM embeddings", "SELECT vec_id, unnest(embedding) AS embedding FROM embeddings"),
 }
 for _name, _units in {"ms": 1_000, "10min": 600_000_000, "5h": 18_000_000_000, "1d": _DAY, "1w": 7 * _DAY, "month": 30 * _DAY, "2years": 730 * _DAY}.items():
     PAIRS[f"date_trunc_{_name}"] = (f"SELECT event_id, date_trunc('{_name}', ts) AS t FROM events", f"SELECT event_id, {_us(_units)} AS t FROM events")
