@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -92,11 +93,41 @@ def release_shuffles(spark: SparkSession) -> None:
 BROADCAST_BYTES = 16 << 20
 
 
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted``, lengthened where ``df`` has a column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows of ``gone`` (doc_id, row_hash: xxhash64 of the text); columns stay."""
-    gone = materialize(gone.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).distinct(), "gone")
+    id_, hash_ = fresh_names(docs, "_id", "_hash")
+    gone = materialize(gone.select(F.col("doc_id").alias(id_), F.col("row_hash").alias(hash_)).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() * 24 <= BROADCAST_BYTES else gone
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_hash"]), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone[id_]) & (F.xxhash64(docs["text"].cast("string")) == gone[hash_]), "left_anti")
+
+
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def only_cache(name: str, forget: Callable[[], None] | None = None) -> None:
+    """Give back what other operators keep in this Python worker, which outlives a stage; keep what ``forget`` would drop."""
+    others = [k for k in _caches if k != name]
+    for k in others:
+        _caches.pop(k)()
+    if forget is not None:
+        _caches[name] = forget
+    if others:
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library keeps its own counsel
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -54,4 +54,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out._tideline_path = now._tideline_path  # so that discard() of the result drops the table behind it
+    return out
