@@ -4,7 +4,9 @@ Both vocabularies split a text into independent pre-tokens before merging, so
 the ids of a text are the ids of its pieces in order. Pieces are cut only at
 boundaries that are pre-token boundaries whatever stands around them; a piece
 goes through the library when a worker first meets it, and texts with any
-other white space go through it whole.
+other white space go through it whole. A piece that is a word of letters, or
+one with closing signs behind it, is one pre-token or two and goes straight to
+the library's model.
 """
 
 from __future__ import annotations
@@ -16,15 +18,26 @@ from collections.abc import Callable
 
 import numpy as np
 
+from .common import only_cache
+
 #: Pieces a worker remembers; the cache starts over when it is full.
 CACHE_PIECES = 800_000
-#: More of them where no other stage shares the worker.
-CACHE_SPACED = 1_200_000
-#: Pieces that go through the library as one text.
-JOINED = 64
+
+#: Signs that may close a piece: with nothing but such signs behind its letters, they are one pre-token.
+CLOSING = '.,;:!?)"'
 
 _loaded: dict[tuple, "Encoder"] = {}
-#: White space other than a plain space or line break, as far as any library may see it, and the separators used here.
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
+_LETTERS = _byte_letters()
+#: White space other than a plain space or line break, as far as any library may see it.
 _ODD = re.compile("[\x01\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
@@ -39,6 +52,21 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Known(dict):
+    """Ids by piece; a piece that is asked for and not there is worked out and kept."""
+
+    def __init__(self, encoder: "Encoder"):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.encoder.ids_of(piece)
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        self[piece] = found
+        return found
+
+
 class Encoder:
     """Encode texts to little-endian id arrays of ``dtype``.
 
@@ -53,18 +81,18 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.words, self.dtype = words, np.dtype(dtype)
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self)
         self.plain = None
         if words:
             # The same vocabulary without its normalizer, for words that normalization leaves alone.
             self.plain = Tokenizer.from_file(path)
             self.plain.encode_special_tokens = True
             self.plain.normalizer = normalizers.Sequence([])
-        # A byte that is a pre-token of its own beside white space, or the line break that pieces never hold.
-        self.separator = "\x01" if words else "\n"
-        (self.separator_id,) = self.lib.encode(self.separator, add_special_tokens=False).ids
-        self.glue = f" {self.separator} " if words else self.separator
-        self.stop = np.array([self.separator_id], self.dtype).tobytes()
+        # The line break that opens a line; pieces never hold it elsewhere.
+        (stop,) = (0,) if words else self.lib.encode("\n", add_special_tokens=False).ids
+        self.model, self.tails = (self.plain or self.lib).model, {"": b""}
+        self.raw = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.lib.get_vocab_size())]
+        self.stop = self.raw[stop]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -72,47 +100,44 @@ class Encoder:
             out += [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts[i : i + 2048], add_special_tokens=False)]
         return out
 
-    def _joined(self, lib, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece; many go through the library as one text, told apart by the separator's id."""
-        out: list[bytes] = []
-        width = self.dtype.itemsize
-        parts = [pieces[k : k + JOINED] for k in range(0, len(pieces), JOINED)]
-        for k in range(0, len(parts), 32):
-            group = parts[k : k + 32]
-            for part, found in zip(group, lib.encode_batch_fast([self.glue.join(p) for p in group], add_special_tokens=False), strict=True):
-                ids = np.array(found.ids, self.dtype)
-                ends = (np.flatnonzero(ids == self.separator_id) * width).tolist()
-                if len(ends) != len(part) - 1:
-                    raise ValueError("pieces cannot be told apart")
-                raw = ids.tobytes()
-                out += [raw[i:j] for i, j in zip([0, *[e + width for e in ends]], [*ends, len(raw)], strict=True)]
-        return out
-
-    def _learn(self, pieces: set[str]) -> None:
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        if len(self.known) + len(new) > (CACHE_PIECES if self.words else CACHE_SPACED):
-            self.known.clear()
-            new = list(pieces)
-        if self.words:
-            small = [p.lower() for p in new]
-            usual = unicodedata.is_normalized("NFC", "".join(small)) and not any("\u03a3" in p or "\u0130" in p for p in new)
-            self.known.update(zip(new, self._joined(self.plain, small) if usual else self._joined(self.lib, new), strict=True))
-            return
-        opening = [p for p in new if p[0] == "\n"]
-        inner = [p for p in new if p[0] != "\n"]
-        self.known.update(zip(inner, self._joined(self.lib, [" " + p for p in inner]), strict=True))
-        self.known.update(zip(opening, [self.stop + b for b in self._joined(self.lib, [p[1:] for p in opening])], strict=True))
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian bytes."""
         parts = [self._pieces(t) if _regular(t) else None for t in texts]
         slow = iter(self._library([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        self._learn(set().union(*[p for p in parts if p]))
         # A text's first piece is cached with a line break before it, which is cut off again.
         get, skip = self.known.__getitem__, 0 if self.words else self.dtype.itemsize
         return [next(slow) if p is None else b"".join(map(get, p))[skip:] for p in parts]
 
+    def ids_of(self, piece: str) -> bytes:
+        """Ids of a piece, worked out anew."""
+        head = piece.rstrip(CLOSING)
+        opening = not self.words and piece[0] == "\n"
+        word = head[1:] if opening else head
+        if self.words:
+            word = word.lower()
+        if not word.isalpha() or (self.words and not word.isascii() and not (unicodedata.is_normalized("NFC", word) and "\u03a3" not in head and "\u0130" not in head)):
+            if opening:
+                return self.stop + (self._library([piece[1:]])[0] if len(piece) > 1 else b"")
+            return self._library([piece if self.words else " " + piece])[0]
+        if head != piece:
+            tail = piece[len(head) :]
+            if (more := self.tails.get(tail)) is None:
+                if len(self.tails) > 1000:
+                    self.tails.clear()
+                more = self.tails[tail] = self._model_ids(tail)
+            return self.known[head] + more
+        if opening:
+            return self.stop + self._model_ids(word)
+        return self._model_ids(word if self.words else " " + word)
+
+    def _model_ids(self, pre_token: str) -> bytes:
+        """Ids of one pre-token, straight from the library's model."""
+        if not pre_token.isascii():
+            pre_token = "".join(map(_LETTERS.__getitem__, pre_token.encode()))
+        elif pre_token[0] == " ":
+            pre_token = _LETTERS[32] + pre_token[1:]
+        return b"".join([self.raw[t.id] for t in self.model.tokenize(pre_token)])
+
     def _pieces(self, text: str) -> list[str]:
         if self.words:
             return text.replace("\n", " ").split(" ")
@@ -120,8 +145,9 @@ class Encoder:
 
 
 def encoder(path: str, words: bool, dtype: str = "<u4") -> Encoder:
-    """The worker's own encoder, kept across tasks."""
+    """The worker's own encoder, kept across tasks until another operator's run there."""
     key = (path, words, dtype)
+    only_cache("tokens", _loaded.clear)
     if key not in _loaded:
         _loaded[key] = Encoder(path, words, dtype)
     return _loaded[key]
