@@ -1,6 +1,7 @@
 """Dialect semantics that DuckDB has no words for."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from tideline.charts import Chart
 from tideline.engine import Engine
 from tideline.errors import QueryError
 from tideline.functions.datetime import interval_micros, parse_time, window_micros
+from tideline.plans import mapreduce
 
 
 @pytest.fixture(scope="module")
@@ -110,7 +112,7 @@ def test_keyed_table(engine):
     assert [r[0] for r in rows(engine, "describe pv")] == ["time", "sid", "rid", "m", "n"]
     assert rows(engine, "describe table pv")[2][1:4] == ("UINT64", "NO", "YES")
     assert rows(engine, "select m.x from pv where sid = 9") == [(None,), (None,)]
-    assert rows(engine, "describe partitions pv")[0][1] == 3
+    assert [r[:2] for r in rows(engine, "describe partitions pv")] == [("2017-01-01", 2), ("2017-01-02", 1)]
     with pytest.raises(QueryError, match="constant"):
         engine.sql("insert into pv (sid) values (rid)")
     with pytest.raises(Exception, match="must not be null"):
@@ -123,6 +125,61 @@ def test_keyed_table(engine):
         engine.sql("drop table pv")
 
 
+def test_partitions_and_compaction(engine):
+    """Bounds on the partition key leave other days unread; compaction swaps folders and carries late rows over."""
+    engine.sql("create table days (time datetime, k uint64, v double, primary key(time, k), partition key(time))")
+    engine.insert_csv("days", [f"2020-01-{d:02d}T{h:02d}:00:00Z,{h},{d}.5" for d in range(1, 11) for h in (0, 23)])
+    engine.insert_csv("days", ["2020-01-03T00:00:00Z,0,99"])
+    text = "select time, v from days where time >= time_at('2020-01-03') and time_at('2020-01-04T12:00:00Z') > time and k = 0"
+    want = [("2020-01-03 00:00:00", 99.0), ("2020-01-04 00:00:00", 4.5)]
+    for _ in range(3):
+        plan = engine.explain(text)
+        assert re.search(r"PartitionFilters: \[[^\]]*_day[^\]]* >= 18264[^\]]*_day[^\]]* <= 18265", plan), plan
+        assert [(str(t), v) for t, v in sorted(rows(engine, text))] == want
+        assert rows(engine, "select count(*) from days") == [(20,)]
+        engine.tables.compact("days")
+    assert len(rows(engine, "describe partitions days")) == 10
+    # A row that is written while the others are being compacted is not lost.
+    whole, tables = engine.spark.catalog.refreshTable, engine.tables
+    try:
+        engine.spark.catalog.refreshTable = lambda name: (setattr(engine.spark.catalog, "refreshTable", whole), tables.append(name, engine.spark.sql("select timestamp'2020-02-01' as time, 7 as k, 7.0 as v")), whole(name))
+        tables.compact("days")
+    finally:
+        engine.spark.catalog.refreshTable = whole
+    assert rows(engine, "select count(*) from days") == [(21,)] and rows(engine, "select v from days where k = 7") == [(7.0,)]
+    assert "days" in engine.list_tables()
+    engine.drop_table("days")
+
+
+def test_unions(engine):
+    two = "select 2 as n union all select 3 as n union all select 1 as n"
+    assert rows(engine, f"{two} order by n limit 2") == [(1,), (2,)]
+    assert rows(engine, f"({two}) order by n desc limit 1, 1") == [(2,)]
+    assert sorted(rows(engine, "select 1 as n union all select 1 as n union select 2 as n union all select 2 as n")) == [(1,), (2,), (2,)]
+    assert rows(engine, "select 5 as n union all (select 3 as n union all select 4 as n order by n limit 1) order by n") == [(3,), (5,)]
+    with pytest.raises(QueryError, match="after the last part"):
+        engine.sql("select 1 as n limit 1 union all select 2 as n")
+
+
+def test_exact_integers(engine, spark):
+    assert rows(engine, "select 3 ^ 39 as a, 2 ^ 0 as b, (0 - 1) ^ 101 as c, 2 ^ (0 - 1) as d, 1 ^ 1000000000 as e") == [(3**39, 1, -1, 0, 1)]
+    with pytest.raises(Exception, match="(?i)overflow"):
+        rows(engine, "select 2 ^ 64 as a")
+    spark.createDataFrame([([2**53, 1, None],), ([],), (None,)], "xs array<bigint>").createOrReplaceTempView("wide")
+    assert rows(engine, "select sum(xs) within record from wide") == [(2**53 + 1,), (None,), (None,)]
+
+
+def test_windows_cover_all(engine, spark):
+    """The last rows lie in a window, HAVING is heeded, and several tables share a grid."""
+    spark.createDataFrame([(0, 1), (90, 2), (180, 4)], "t bigint, v bigint").createOrReplaceTempView("w1")
+    spark.createDataFrame([(30, 10), (200, 20)], "t bigint, v bigint").createOrReplaceTempView("w2")
+    assert [r[1] for r in sorted(rows(engine, "select t as time, sum(v) as s from w1 group over timewindow(t, 60)"))] == [1, 2, None, 4]
+    assert sorted(rows(engine, "select sum(v) as s from w1 group over timewindow(t, 120, 60) having sum(v) > 2")) == [(3,), (4,)]
+    got = sorted(rows(engine, "select a.t as time, sum(a.v) as x, sum(b.v) as y from w1 a, w2 b group over timewindow(a.t, 60)"))
+    assert [r[1:] for r in got] == [(1, 10), (2, None), (None, None), (4, 20)]
+    assert [r[1:] for r in rows(engine, "select a.t as time, sum(a.v) as x, sum(b.v) as y from w1 a, w2 b group over timewindow(a.t, 60) having sum(b.v) > 10")] == [(4, 20)]
+
+
 def test_import_csv(engine, tmp_path):
     (tmp_path / "c.csv").write_text("id;name\n1;a\n2;'b;c'\n")
     engine.sql(f"""import table things from "csv://{tmp_path}/c.csv?headers=true&col_sep=%3B&quote_char='" """)
@@ -141,6 +198,20 @@ def test_map_reduce(engine):
     engine.mapreduce.save_to_table(engine.reduce(m, lambda k, vs: [(k, {"k": k, "v": len(list(vs))})]), "sums")
     assert rows(engine, "select * from sums order by k") == [("10", 50), ("20", 50)]
     engine.sql("drop table sums")
+    # Null values of a join add nothing; a combiner that makes no room passes its pairs on.
+    some = engine.map_table("testtable", lambda r: [(r["three"], None), (r["three"], {"a": 1})], ["three"])
+    more = engine.map_table("testtable", lambda r: [(r["three"], {"b": r["three"]})], ["three"])
+    assert sorted(engine.mapreduce.download_results(engine.mapreduce.join([some, more]), lambda k, v: f"{k} {v}")) == ['10 {"a": 1, "b": 10}', '20 {"a": 1, "b": 20}']
+
+
+def test_combiner_bounds(monkeypatch):
+    monkeypatch.setattr(mapreduce, "COMBINE_PAIRS", 100)
+    total = lambda k, vs: [(k, sum(map(int, vs)))]
+    got = list(mapreduce._combined(iter([(i % 7, 1) for i in range(1000)] + [(i, 2) for i in range(100, 200)]), total))
+    sums: dict = {}
+    for k, v in got:
+        sums[k] = sums.get(k, 0) + int(v)
+    assert sums == {str(i): 143 if i < 6 else 142 for i in range(7)} | {str(i): 2 for i in range(100, 200)} and len(got) < 300
 
 
 def test_functions_of_users(engine):

@@ -23,7 +23,7 @@ def test_gives_rows(spark, data, name):
 
 def test_explodes_every_vector(spark, data, con):
     (want,) = con.execute("SELECT count(DISTINCT vec_id) FROM embeddings").fetchone()
-    assert QUERIES["repeated_explode_all"](spark, data).select("vec_id").distinct().count() == want
+    assert QUERIES["repeated_explode"](spark, data).select("vec_id").distinct().count() == want
 
 
 def test_entry(spark):

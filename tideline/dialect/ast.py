@@ -65,10 +65,13 @@ class Join:
 
 @dataclasses.dataclass
 class Window:
+    """``span``: a table of the first and last time, where they are not those of the rows themselves."""
+
     time: Any
     size: int
     step: int
     by: list[Any]
+    span: Any = None
 
 
 @dataclasses.dataclass
@@ -87,8 +90,13 @@ class Select:
 
 @dataclasses.dataclass
 class Union:
-    parts: list[Select]
-    all: bool
+    """``every[i]``: whether repeated rows stay when the part after ``parts[i]`` is added."""
+
+    parts: list[Any]
+    every: list[bool]
+    order: list[tuple[Any, bool]] = dataclasses.field(default_factory=list)
+    limit: int | None = None
+    offset: int = 0
 
 
 @dataclasses.dataclass

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..errors import QueryError
 from ..functions import aggregates, conversion, datetime, logic, numeric, strings
 from ..operators.nested import explode_paths, repeated_root
-from ..operators.timewindow import sliding_windows
+from ..operators.timewindow import sliding_windows, time_span
 from . import ast
 
 VERSION = "1.0"
@@ -31,7 +31,7 @@ class Environment:
     """What names mean: tables, and functions that users have added."""
 
     spark: SparkSession
-    table: Callable[[str], DataFrame]
+    table: Callable[..., DataFrame]
     functions: dict[str, Callable[..., Column]] = dataclasses.field(default_factory=dict)
     aggregates: dict[str, Callable[..., Column]] = dataclasses.field(default_factory=dict)
 
@@ -144,7 +144,9 @@ def _call(node: ast.Call, scope: Scope) -> Column:
         if len(args) != 1 or not isinstance(args[0], ast.Ref):
             raise QueryError("WITHIN RECORD takes one column")
         whole = Scope(scope.env, scope.df, scope.tables)
-        return aggregates.within_record(name, whole.ref(args[0].parts))
+        values = whole.ref(args[0].parts)
+        kind = whole.kind(values)
+        return aggregates.within_record(name, values, isinstance(kind, T.ArrayType) and numeric.is_integer(kind.elementType))
     try:
         if name in scope.env.functions:
             return scope.env.functions[name](*[compile_expr(a, scope) for a in args])
@@ -182,11 +184,29 @@ def walk(node):
         yield from walk(child)
 
 
-def _source(node, env: Environment) -> tuple[DataFrame, list[tuple[str | None, list[str]]]]:
+_MIRROR = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "=": "="}
+
+
+def _bounds(where, table: ast.Table, env: Environment) -> dict[str, list[tuple[str, Column]]]:
+    """By column: comparisons with constants that all rows of a WHERE clause meet."""
+    out: dict[str, list[tuple[str, Column]]] = {}
+    if isinstance(where, ast.Op) and where.op == "and":
+        for side in where.args:
+            for c, found in _bounds(side, table, env).items():
+                out.setdefault(c, []).extend(found)
+    elif isinstance(where, ast.Op) and where.op in _MIRROR:
+        for op, a, b in ((where.op, *where.args), (_MIRROR[where.op], *reversed(where.args))):
+            own = isinstance(a, ast.Ref) and (len(a.parts) == 1 or a.parts[:-1] == [table.alias or table.name.split(".")[-1]])
+            if own and not any(isinstance(n, ast.Ref | ast.Star) or _is_aggregate(n, env) for n in walk(b)):
+                out.setdefault(a.parts[-1].lower(), []).append((op, _time(b, Scope(env, env.spark.range(1), []))))
+    return out
+
+
+def _source(node, env: Environment, where=None) -> tuple[DataFrame, list[tuple[str | None, list[str]]]]:
     if node is None:
         return env.spark.range(1).select(), []
     if isinstance(node, ast.Table):
-        df = env.table(node.name)
+        df = env.table(node.name, _bounds(where, node, env)) if where is not None else env.table(node.name)
         alias = node.alias or node.name.split(".")[-1]
         return df.alias(alias), [(alias, df.columns)]
     if isinstance(node, ast.Derived):
@@ -243,11 +263,11 @@ def name_of(item: ast.Item) -> str:
 def build_query(node, env: Environment) -> DataFrame:
     try:
         if isinstance(node, ast.Union):
-            out = None
-            for part in node.parts:
-                df = build_query(part, env)
-                out = df if out is None else out.union(df)
-            return out if node.all else out.distinct()
+            out = build_query(node.parts[0], env)
+            for part, every in zip(node.parts[1:], node.every, strict=True):
+                out = out.union(build_query(part, env))
+                out = out if every else out.distinct()
+            return _tail(out, node)
         return _select(node, env)
     except AnalysisException as e:
         raise_clear(e)
@@ -260,7 +280,7 @@ def _is_aggregate(node, env: Environment) -> bool:
 def _select(sel: ast.Select, env: Environment) -> DataFrame:
     if sel.window and isinstance(sel.source, ast.Join):
         return _joined_windows(sel, env)
-    df, tables = _source(sel.source, env)
+    df, tables = _source(sel.source, env, sel.where)
     items = _stars(sel.items, tables)
     if not items:
         raise QueryError("SELECT needs a list of expressions")
@@ -270,7 +290,8 @@ def _select(sel: ast.Select, env: Environment) -> DataFrame:
         df = df.filter(compile_expr(sel.where, scope))
         scope = Scope(env, df, tables, replaced)
     if sel.window:
-        return _tail(_windowed(sel, items, scope), sel)
+        out = _windowed(sel, items, scope)
+        return _tail(out.distinct() if sel.distinct else out, sel)
     nodes = [i.expr for i in items] + [e for e, _ in sel.order] + ([sel.having] if sel.having is not None else [])
     if sel.group is not None or any(_is_aggregate(n, env) for x in nodes for n in walk(x)):
         return _grouped(sel, items, scope)
@@ -327,13 +348,13 @@ def _sorted(c: Column, up: bool) -> Column:
     return c.asc() if up else c.desc()
 
 
-def _limited(df: DataFrame, sel: ast.Select) -> DataFrame:
+def _limited(df: DataFrame, sel: ast.Select | ast.Union) -> DataFrame:
     if sel.offset:
         df = df.offset(sel.offset)
     return df.limit(sel.limit) if sel.limit is not None else df
 
 
-def _tail(out: DataFrame, sel: ast.Select) -> DataFrame:
+def _tail(out: DataFrame, sel: ast.Select | ast.Union) -> DataFrame:
     if sel.order:
         scope = Scope(None, out, [(None, out.columns)])
         out = out.orderBy(*[_sorted(compile_expr(e, scope), up) for e, up in sel.order])
@@ -435,16 +456,19 @@ def _windowed(sel: ast.Select, items: list[ast.Item], scope: Scope) -> DataFrame
         return node
 
     outs = [(lift(i.expr), name_of(i)) for i in items]
+    having = lift(_unalias(sel.having, items, scope.df.columns)) if sel.having is not None else None
     if not aggs:
         aggs["__w0"] = ("count", F.lit(1))
     by = {f"__b{i}": compile_expr(b, scope) for i, b in enumerate(w.by)}
-    table = sliding_windows(scope.df, compile_expr(w.time, scope), w.size, w.step, by, aggs, "__time")
+    table = sliding_windows(scope.df, compile_expr(w.time, scope), w.size, w.step, by, aggs, "__time", w.span)
+    if having is not None:
+        table = table.filter(compile_expr(having, Scope(scope.env, table, [(None, table.columns)])))
     over = Scope(scope.env, table, [(None, table.columns)])
     return table.select(*[compile_expr(n, over).alias(name) for n, name in outs])
 
 
 def _joined_windows(sel: ast.Select, env: Environment) -> DataFrame:
-    """Windows over several tables: each is windowed alone, then they are joined on time and keys."""
+    """Windows over several tables: each is windowed alone, over the time that all of them span, then they are joined on time and keys."""
     tables: list[ast.Table] = []
 
     def collect(node) -> None:
@@ -462,17 +486,24 @@ def _joined_windows(sel: ast.Select, env: Environment) -> DataFrame:
     plain = lambda e: ast.Ref(e.parts[1:]) if isinstance(e, ast.Ref) and len(e.parts) > 1 and e.parts[0] in names else e
     time, by = plain(w.time), [plain(b) for b in w.by]
     calls: dict[str, list[ast.Call]] = {n: [] for n in names}
-    for item in sel.items:
-        for node in walk(item.expr):
+    exprs = [i.expr for i in sel.items] + ([sel.having] if sel.having is not None else [])
+    for expr in exprs:
+        for node in walk(expr):
             if _is_aggregate(node, env):
                 owner = next((n.parts[0] for a in node.args for n in walk(a) if isinstance(n, ast.Ref) and n.parts[0] in names), None)
                 if owner is None:
                     raise QueryError("aggregates over several tables must name their table")
                 calls[owner].append(node)
-    out = None
+    if sel.where is not None:
+        raise QueryError("filter the tables of a joined time window in subqueries")
+    out = span = None
+    for t in tables:
+        df, known = _source(t, env)
+        one = time_span(df, compile_expr(time, Scope(env, df, known)))
+        span = one if span is None else span.union(one)
     for t, n in zip(tables, names, strict=True):
         own = [ast.Item(time, "__time", "")] + [ast.Item(b, f"__b{i}", "") for i, b in enumerate(by)] + [ast.Item(c, f"__{n}{i}", "") for i, c in enumerate(calls[n])]
-        one = _select(ast.Select(own, t, None, None, ast.Window(time, w.size, w.step, by)), env)
+        one = _select(ast.Select(own, t, None, None, ast.Window(time, w.size, w.step, by, span)), env)
         out = one if out is None else out.join(one, ["__time", *[f"__b{i}" for i in range(len(by))]])
 
     def lift(node):
@@ -490,6 +521,8 @@ def _joined_windows(sel: ast.Select, env: Environment) -> DataFrame:
         return node
 
     over = Scope(env, out, [(None, out.columns)])
-    if sel.where is not None:
-        raise QueryError("filter the tables of a joined time window in subqueries")
-    return _tail(out.select(*[compile_expr(lift(i.expr), over).alias(name_of(i)) for i in sel.items]), sel)
+    if sel.having is not None:
+        out = out.filter(compile_expr(lift(sel.having), over))
+        over = Scope(env, out, [(None, out.columns)])
+    out = out.select(*[compile_expr(lift(i.expr), over).alias(name_of(i)) for i in sel.items])
+    return _tail(out.distinct() if sel.distinct else out, sel)

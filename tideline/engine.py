@@ -35,14 +35,14 @@ class Engine:
         self.env = Environment(self.spark, self._table)
         self.mapreduce = MapReduce(self)
 
-    def _table(self, name: str) -> DataFrame:
+    def _table(self, name: str, bounds: dict | None = None) -> DataFrame:
         if self.folder and name in TABLES:
             if name not in self._opened:
                 self._opened[name] = load(self.spark, self.folder, name)
             return self._opened[name]
         if not self.spark.catalog.tableExists(name):
             raise QueryError(f"table not found: '{name}'")
-        return self.tables.read(name)
+        return self.tables.read(name, bounds)
 
     # -- queries
     def sql(self, text: str) -> DataFrame | Chart:
@@ -158,6 +158,31 @@ class Engine:
         lines = self.spark.createDataFrame([(o,) for o in objects], "j string")
         self.tables.append(name, lines.select(F.from_json("j", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*"))
 
+    def insert_csv(self, name: str, lines: list[str], **options) -> None:
+        """Upsert rows given as CSV lines in the order of the table's columns; ``options`` are those of Spark's ``from_csv``."""
+        schema = self.tables.schema(name)
+        rows = self.spark.createDataFrame([(x,) for x in lines], "l string")
+        self.tables.append(name, rows.select(F.from_csv("l", schema.simpleString()[7:-1].replace(":", " "), {"mode": "FAILFAST", **options}).alias("r")).select("r.*"))
+
+    # -- tables
+    def create_table(self, name: str, columns: list[ast.Column], primary_key: list[str], partition_key: str | None = None, **properties: str) -> None:
+        self.tables.create(name, columns, primary_key, partition_key, properties)
+
+    def add_field(self, name: str, column: ast.Column) -> None:
+        self.tables.add_column(name, column)
+
+    def remove_field(self, name: str, column: str) -> None:
+        self.tables.drop_column(name, column)
+
+    def list_tables(self) -> list[str]:
+        return self.tables.names()
+
+    def describe_table(self, name: str) -> DataFrame:
+        return self.tables.describe(name)
+
+    def drop_table(self, name: str) -> None:
+        self.tables.drop(name)
+
     def import_file(self, name: str, path: str, kind: str = "csv", **options) -> None:
         """Append a CSV or JSON file to a table."""
         schema = self.tables.schema(name)

@@ -25,8 +25,8 @@ AGGREGATES: dict[str, Callable[..., Column]] = {
 }
 
 
-def within_record(name: str, values: Column) -> Column:
-    """An aggregate over one record's repeated values, without leaving its row."""
+def within_record(name: str, values: Column, whole: bool = False) -> Column:
+    """An aggregate over one record's repeated values, without leaving its row; ``whole``: they are integers, and so is their sum."""
     present = F.filter(values, lambda v: v.isNotNull())
     some = F.size(present) > 0
     total = lambda: F.aggregate(F.transform(present, lambda v: v.cast("double")), F.lit(0.0), lambda a, v: a + v)
@@ -36,4 +36,6 @@ def within_record(name: str, values: Column) -> Column:
         return F.size(F.array_distinct(present)).cast("bigint")
     if name in ("mean", "avg"):
         return F.when(some, total() / F.size(present))
+    if name == "sum" and whole:
+        return F.when(some, F.aggregate(F.transform(present, lambda v: v.cast("bigint")), F.lit(0).cast("bigint"), lambda a, v: a + v))
     return {"sum": F.when(some, total()), "max": F.array_max(present), "min": F.array_min(present)}[name]

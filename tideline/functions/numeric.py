@@ -31,8 +31,15 @@ def mod(a: Column, b: Column, whole: bool) -> Column:
 
 
 def power(a: Column, b: Column, whole: bool) -> Column:
+    """Integers are multiplied out, so that they stay exact, and fail where they overflow; to a negative power they are cut to an integer."""
     out = F.pow(a.cast("double"), b.cast("double"))
-    return out.cast("bigint") if whole else out
+    if not whole:
+        return out
+    x, n = a.cast("bigint"), b.cast("bigint")
+    # Beyond 64 factors only 0, 1 and -1 do not overflow, and they repeat every two.
+    factors = F.when(n > 64, 64 + n % 2).otherwise(n).cast("int")
+    product = F.aggregate(F.array_repeat(x, F.greatest(factors, F.lit(0))), F.lit(1).cast("bigint"), lambda p, y: p * y)
+    return F.when(n >= 0, product).when(n < 0, out.cast("bigint"))
 
 
 def truncate(x: Column, digits: Column | None = None) -> Column:

@@ -1,8 +1,8 @@
 """Sliding windows over a whole time range, empty ones included.
 
 Windows start at the earliest time and move by ``step`` seconds; there is one
-row for each, also where no input falls into it. Rows are first aggregated into
-panes (the greatest common divisor of window and step), so only panes, not
+row for each, also where no input falls into it, until all times are covered.
+Rows are first aggregated into panes (the greatest common divisor of window and step), so only panes, not
 rows, are repeated for each window they belong to.
 """
 
@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MICRO = 1_000_000
+#: Windows of the grid that are laid out at a time.
+STRETCH = 65_536
 #: Aggregates that panes can be combined by: (in a pane, over panes).
 _MERGE = {
     "count": (lambda x: F.count(x), lambda p: F.coalesce(F.sum(p), F.lit(0).cast("bigint"))),
@@ -23,16 +25,28 @@ _MERGE = {
 }
 
 
-def sliding_windows(df: DataFrame, time: Column, size: int, step: int, by: dict[str, Column], aggs: dict[str, tuple[str, Column]], time_name: str = "time") -> DataFrame:
+def micros(df: DataFrame, time: Column) -> Column:
+    return F.unix_micros(time) if dict(df.select(time.alias("t")).dtypes)["t"] in ("timestamp", "timestamp_ntz") else (time * MICRO).cast("bigint")
+
+
+def time_span(df: DataFrame, time: Column) -> DataFrame:
+    """(_from, _to): the first and last time in microseconds, one row; both null without any."""
+    us = micros(df, time)
+    return df.agg(F.min(us).alias("_from"), F.max(us).alias("_to"))
+
+
+def sliding_windows(df: DataFrame, time: Column, size: int, step: int, by: dict[str, Column], aggs: dict[str, tuple[str, Column]], time_name: str = "time", span: DataFrame | None = None) -> DataFrame:
     """One row per step (and combination of ``by``): the windows' last step, and the aggregates.
 
     ``aggs`` maps an output name to (function, argument); count, sum, min, max,
     mean and avg go through panes, any other is computed on repeated rows.
+    ``span`` (see :func:`time_span`; several rows are taken together) sets
+    where windows begin and end; without it the rows' own times do.
     """
-    us = F.unix_micros(time) if dict(df.select(time.alias("t")).dtypes)["t"] in ("timestamp", "timestamp_ntz") else (time * MICRO).cast("bigint")
-    rows = df.withColumn("_us", us).filter("_us is not null")
-    span = rows.agg(F.min("_us").alias("_from"), F.max("_us").alias("_to")).filter("_from is not null")
-    last = F.greatest(F.lit(0), F.floor((F.col("_to") - F.col("_from") - (size - 1) * MICRO) / (step * MICRO))).cast("bigint")
+    rows = df.withColumn("_us", micros(df, time)).filter("_us is not null")
+    span = (time_span(df, time) if span is None else span).agg(F.min("_from").alias("_from"), F.max("_to").alias("_to")).filter("_from is not null")
+    # The last window is the first one that ends after the last time.
+    last = F.greatest(F.lit(0), F.floor((F.col("_to") - F.col("_from") - (size - step) * MICRO) / (step * MICRO))).cast("bigint")
     span = span.withColumn("_last", last)
     keys = {f"_k{i}": c for i, c in enumerate(by.values())}
     parts: dict[str, tuple[str, Column]] = {}
@@ -64,7 +78,10 @@ def sliding_windows(df: DataFrame, time: Column, size: int, step: int, by: dict[
 
         merged = [AGGREGATES[fn](F.col(f"`{n}`")).alias(n) for n, (fn, _) in parts.items()]
     filled = each.groupBy("_w", *keys).agg(*merged)
-    grid = span.select("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")).alias("_w"))
+    # The grid is laid out in stretches, so that a long one is neither one row nor one task.
+    starts = span.select("_from", "_last", F.explode(F.sequence(F.lit(0).cast("bigint"), "_last", F.lit(STRETCH).cast("bigint"))).alias("_s"))
+    starts = starts.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "_s")
+    grid = starts.select("_from", F.explode(F.sequence("_s", F.least("_last", F.col("_s") + (STRETCH - 1)))).alias("_w"))
     if keys:
         grid = grid.join(timed.select(*keys).distinct())
     f = filled.select(F.col("_w").alias("_fw"), *[F.col(k).alias(f"_f{k}") for k in keys], *[F.col(f"`{n}`") for n in parts])

@@ -9,7 +9,10 @@ VERSION, SEQUENCE = "_version", "_seq"
 
 
 def latest(df: DataFrame, key: list[str], version: list[str] | None = None) -> DataFrame:
-    """One row per key: the one of the highest version (the last of ``version`` breaks ties)."""
+    """One row per key: the one of the highest version (the last of ``version`` breaks ties).
+
+    Spark keeps the first of each key before the shuffle too, so versions that lie together cost one row there.
+    """
     order = [F.col(v).desc_nulls_last() for v in version or [VERSION, SEQUENCE]]
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_rank = 1").drop("_rank")
 

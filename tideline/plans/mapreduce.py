@@ -3,7 +3,8 @@
 Keys and values are text (values usually JSON). A reducer sees its keys one
 after another with an iterator over each key's values, read from sorted Arrow
 batches, so a key never has to fit in memory; a combiner, where one is given,
-runs on every partition before the shuffle and takes the weight off hot keys.
+runs over bounded tables of pairs as they are mapped, before anything is sorted
+or shuffled, and takes the weight off hot keys.
 """
 
 from __future__ import annotations
@@ -25,8 +26,45 @@ log = logging.getLogger("tideline.mapreduce")
 Pairs = Iterable[tuple[Any, Any]]
 
 
+#: Pairs that a combiner holds at a time, in each task.
+COMBINE_PAIRS = 200_000
+
+
 def _text(x: Any) -> str | None:
-    return x if x is None or isinstance(x, str) else json.dumps(x, default=str)
+    if x is None or isinstance(x, str):
+        return x
+    return str(x) if type(x) is int else json.dumps(x, default=str)
+
+
+def _combined(pairs: Iterator[tuple[Any, Any]], fn: Callable[[str, Iterator[str]], Pairs]) -> Iterator[tuple[Any, Any]]:
+    """``pairs`` with those of one key put through ``fn`` whenever enough are held, and passed on once that no longer makes room."""
+    held: dict[Any, list] = {}
+    n = 0
+
+    def combine() -> None:
+        nonlocal held, n
+        made: dict[Any, list] = {}
+        n = 0
+        for k, values in held.items():
+            for k2, v2 in fn(k, iter(values)) or ():
+                made.setdefault(_text(k2), []).append(_text(v2))
+                n += 1
+        held = made
+
+    for k, v in pairs:
+        k, v = _text(k), _text(v)
+        if (values := held.get(k)) is None:
+            held[k] = [v]
+        else:
+            values.append(v)
+        n += 1
+        if n >= COMBINE_PAIRS:
+            combine()
+            if 2 * n > COMBINE_PAIRS:
+                yield from ((k, v) for k, values in held.items() for v in values)
+                held, n = {}, 0
+    combine()
+    yield from ((k, v) for k, values in held.items() for v in values)
 
 
 def _batches(pairs: Iterator[tuple[Any, Any]], size: int = 4096) -> Iterator[pa.RecordBatch]:
@@ -47,15 +85,29 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
 
 
 class Job:
-    """A step whose result is a table of keys and values."""
+    """A step whose result is a table of keys and values.
+
+    ``source`` is the table that a map step reads and how it makes pairs of a
+    row, so that a combiner can run in the same pass.
+    """
 
-    def __init__(self, pairs: DataFrame):
-        self.pairs = pairs
+    def __init__(self, pairs: DataFrame, source: tuple[DataFrame, Callable[[dict], Pairs]] | None = None):
+        self.pairs, self.source = pairs, source
 
     def cached(self) -> "Job":
-        self.pairs = self.pairs.persist()
+        self.pairs, self.source = self.pairs.persist(), None
         return self
 
+    def combined(self, fn: Callable[[str, Iterator[str]], Pairs]) -> "Job":
+        """The pairs after ``fn`` has run over those of each key that are held together."""
+        df, make = self.source or (self.pairs, None)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pairs = _rows(batches) if make is None else (pair for b in batches for row in b.to_pylist() for pair in make(row) or ())
+            yield from _batches(_combined(pairs, fn))
+
+        return Job(df.mapInArrow(run, SCHEMA))
+
 
 class MapReduce:
     def __init__(self, engine):
@@ -80,7 +132,7 @@ class MapReduce:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _batches(pair for b in batches for row in b.to_pylist() for pair in map_fn(row, *extra) or ())
 
-        return Job(df.mapInArrow(run, SCHEMA))
+        return Job(df.mapInArrow(run, SCHEMA), (df, lambda row: map_fn(row, *extra)))
 
     @staticmethod
     def _gathered(sources: Job | list[Job], shards: int | None) -> DataFrame:
@@ -103,20 +155,20 @@ class MapReduce:
 
         if combine_fn:
             jobs = sources if isinstance(sources, list) else [sources]
-            sources = [Job(j.pairs.sortWithinPartitions("key").mapInArrow(over(combine_fn), SCHEMA)) for j in jobs]
+            sources = [j.combined(combine_fn) for j in jobs]
         dealt = self._gathered(sources, shards).sortWithinPartitions("key")
         return Job(dealt.mapInArrow(over(reduce_fn, *extra), SCHEMA))
 
     def join(self, sources: list[Job], map_fn: Callable[[str, dict], Pairs] | None = None, shards: int | None = None) -> Job:
-        """Merge the JSON objects of each key; of one property the last source's value wins."""
-        marked = [Job(j.pairs.withColumn("value", F.concat(F.lit(f"{i:06d}"), "value"))) for i, j in enumerate(sources)]
+        """Merge the JSON objects of each key; of one property the last source's value wins. A null value adds nothing."""
+        marked = [Job(j.pairs.withColumn("value", F.concat(F.lit(f"{i:06d}"), F.coalesce("value", F.lit("null"))))) for i, j in enumerate(sources)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def merged() -> Iterator[tuple[str, Any]]:
                 for k, kvs in groupby(_rows(batches), key=lambda kv: kv[0]):
                     whole: dict = {}
                     for _, v in kvs:
-                        whole |= json.loads(v[6:])
+                        whole |= json.loads(v[6:]) or {}
                     yield from map_fn(k, whole) if map_fn else [(k, whole)]
 
             yield from _batches(merged())
