@@ -86,6 +86,7 @@ PAIRS: dict[str, tuple[str, str]] = {
     "union_order_limit": ("SELECT c_nationkey AS k, c_custkey AS i FROM customer UNION ALL SELECT s_nationkey AS k, s_suppkey AS i FROM supplier ORDER BY i DESC, k LIMIT 12", "SELECT c_nationkey AS k, c_custkey AS i FROM customer UNION ALL SELECT s_nationkey AS k, s_suppkey AS i FROM supplier ORDER BY i DESC, k LIMIT 12"),
     "union_mixed": ("SELECT s_nationkey AS k FROM supplier UNION SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey AS k FROM region", "SELECT s_nationkey AS k FROM supplier UNION SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey AS k FROM region"),
     "union_distinct": ("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier"),
+    "to_nil": ("SELECT event_id, isnull(to_nil(value)) AS n FROM events", "SELECT event_id, true AS n FROM events"),
     "multi_statement": ("SELECT 1 AS a; SELECT count(*) AS c FROM region;", "SELECT count(*) AS c FROM region"),
     "timewindow": ("SELECT time, c, s FROM (SELECT ts AS time, count(*) AS c, round(sum(value), 4) AS s FROM events GROUP OVER TIMEWINDOW(ts, 604800, 86400)) t", """WITH s AS (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM events),
         g AS (SELECT a + i * 86400000000 AS w FROM s, range(0, ((b - a - 518400000000) // 86400000000) + 1) AS r(i))
@@ -215,13 +216,103 @@ def codec_cells(spark: SparkSession, folder: str) -> DataFrame:
     return printed(load(spark, folder, "events").select("event_id", "ts", "event_type")).toDF("event_id", "ts", "event_type")
 
 
-FRAMES: dict[str, Query] = {f.__name__: f for f in (record_field, record_within, upsert_latest, insert_json, mapreduce_wordcount, mapreduce_join, mapreduce_multi_source, mapreduce_graph, now_shape, show_tables, describe_table, show_servers, explain, draw_linechart, codec_cells)}
+def _fresh(spark: SparkSession, folder: str, name: str, columns: str) -> Engine:
+    """An engine with an empty table of that name; one that an earlier run left is dropped."""
+    e = engine(spark, folder)
+    if spark.catalog.tableExists(name):
+        e.drop_table(name)
+    e.sql(f"CREATE TABLE {name} ({columns})")
+    return e
+
+
+_VIEWS = "time datetime, event_id uint64, event_type string, value double, PRIMARY KEY(time, event_id), PARTITION KEY(time)"
+
+
+def table_insert(spark: SparkSession, folder: str) -> DataFrame:
+    """CREATE TABLE, INSERT, and a second INSERT that replaces a row of the same key."""
+    e = _fresh(spark, folder, "catalogue_insert", "time datetime, sid uint64 NOT NULL, url string, PRIMARY KEY(time, sid), PARTITION KEY(time)")
+    e.sql("INSERT INTO catalogue_insert (time, sid, url) VALUES ('2017-01-01T12:00:00Z', 1, '/a'), (time_at('2017-01-02T00:00:01Z'), 1 + 1, concat('/', 'b')); INSERT INTO catalogue_insert (time, sid) VALUES ('2017-01-01T12:00:00Z', 1)")
+    return e.sql("SELECT * FROM catalogue_insert")
+
+
+def table_insert_json(spark: SparkSession, folder: str) -> DataFrame:
+    e = _fresh(spark, folder, "catalogue_json", "k uint64, m REPEATED RECORD(thing string, temp double), PRIMARY KEY(k)")
+    e.sql("""INSERT INTO catalogue_json FROM JSON '{"k":9,"m":[{"thing":"a","temp":22.3},{"thing":"b","temp":21.8}]}'; INSERT INTO catalogue_json FROM JSON '{"k":10,"m":[{"thing":"c","temp":1.5}]}'""")
+    return e.sql("SELECT k, m.thing AS thing, m.temp AS temp FROM catalogue_json")
+
+
+def table_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """All events into a keyed table, then those with even ids again with a doubled value."""
+    e = _fresh(spark, folder, "catalogue_upsert", _VIEWS)
+    events = load(spark, folder, "events").select(F.col("ts").alias("time"), "event_id", "event_type", "value")
+    e.upsert("catalogue_upsert", events)
+    e.upsert("catalogue_upsert", events.filter("event_id % 2 = 0").withColumn("value", F.col("value") * 2))
+    return e.sql("SELECT event_id, value FROM catalogue_upsert")
+
+
+def table_compact(spark: SparkSession, folder: str) -> DataFrame:
+    """The same after compaction, bounded by the partition key, so that other days stay unread."""
+    e = _fresh(spark, folder, "catalogue_compact", _VIEWS)
+    events = load(spark, folder, "events").select(F.col("ts").alias("time"), "event_id", "event_type", "value")
+    e.upsert("catalogue_compact", events)
+    e.upsert("catalogue_compact", events.filter("event_id % 2 = 0").withColumn("value", F.col("value") * 2))
+    e.tables.compact("catalogue_compact")
+    return e.sql("SELECT event_id, value FROM catalogue_compact WHERE time >= time_at('2024-01-03') AND time < time_at('2024-01-05T06:00:00Z')")
+
+
+def table_alter(spark: SparkSession, folder: str) -> DataFrame:
+    e = _fresh(spark, folder, "catalogue_alter", "k uint64, a string, r RECORD(x double), PRIMARY KEY(k)")
+    e.sql("INSERT INTO catalogue_alter (k, a) VALUES (1, 'x'); ALTER TABLE catalogue_alter ADD COLUMN b double, DROP a, ADD COLUMN r.y string; ALTER TABLE catalogue_alter SET PROPERTY partition_size_hint = 5")
+    return e.sql("DESCRIBE TABLE catalogue_alter").select("column_name", "type", "nullable", "primary_key")
+
+
+def describe_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    e = _fresh(spark, folder, "catalogue_days", _VIEWS)
+    e.upsert("catalogue_days", load(spark, folder, "events").select(F.col("ts").alias("time"), "event_id"))
+    return e.sql("DESCRIBE PARTITIONS catalogue_days").select("partition_id", "rows")
+
+
+def import_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """IMPORT of a CSV file with a header, written for the purpose."""
+    path = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:").rstrip("/") + "/catalogue_nations.csv"
+    load(spark, folder, "nation").select("n_nationkey", "n_name").write.mode("overwrite").csv(path, header=True, sep=";")
+    e = engine(spark, folder)
+    e.sql(f"IMPORT TABLE catalogue_nations FROM 'csv://{path}?headers=true&col_sep=%3B'")
+    return e.sql("SELECT to_int(n_nationkey) AS k, n_name FROM catalogue_nations")
+
+
+def user_functions(spark: SparkSession, folder: str) -> DataFrame:
+    e = engine(spark, folder)
+    e.register_function("twice", lambda x: x * 2)
+    e.register_aggregate("spread", lambda x: F.max(x) - F.min(x))
+    return e.sql("SELECT event_type, twice(spread(event_id)) AS s FROM events GROUP BY event_type")
+
+
+def mapreduce_save(spark: SparkSession, folder: str) -> DataFrame:
+    """The result of a reduce step saved to a keyed table."""
+    e = _fresh(spark, folder, "catalogue_sums", "k string, n uint64, PRIMARY KEY(k)")
+    count = lambda k, vs: [(k, sum(map(int, vs)))]
+    counted = e.reduce(e.map_table("events", lambda r: [(r["event_type"], 1)], ["event_type"]), lambda k, vs: [(k, {"k": k, "n": sum(map(int, vs))})], combine_fn=count)
+    e.mapreduce.save_to_table(counted, "catalogue_sums")
+    return e.sql("SELECT * FROM catalogue_sums")
+
+
+FRAMES: dict[str, Query] = {f.__name__: f for f in (table_insert, table_insert_json, table_upsert, table_compact, table_alter, describe_partitions, import_csv, user_functions, mapreduce_save, record_field, record_within, upsert_latest, insert_json, mapreduce_wordcount, mapreduce_join, mapreduce_multi_source, mapreduce_graph, now_shape, show_tables, describe_table, show_servers, explain, draw_linechart, codec_cells)}
 QUERIES: dict[str, Query] = {name: _dialect(text) for name, (text, _) in PAIRS.items()} | FRAMES
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in PAIRS.items()} | {
     "record_field": "SELECT l_orderkey, l_linenumber AS line, l_quantity AS qty FROM lineitem WHERE l_quantity > 25",
     "record_within": "SELECT l_orderkey, round(sum(l_quantity), 4) AS s, count(*) AS n, sum(l_linenumber)::BIGINT AS lines FROM lineitem GROUP BY l_orderkey",
     "upsert_latest": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value * 2 ELSE value END AS value FROM events",
     "insert_json": "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events",
+    "table_insert": "SELECT * FROM (VALUES (TIMESTAMP '2017-01-01 12:00:00', 1, NULL), (TIMESTAMP '2017-01-02 00:00:01', 2, '/b')) t(time, sid, url)",
+    "table_insert_json": "SELECT * FROM (VALUES (9, 'a', 22.3::DOUBLE), (9, 'b', 21.8::DOUBLE), (10, 'c', 1.5::DOUBLE)) t(k, thing, temp)",
+    "table_upsert": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value * 2 ELSE value END AS value FROM events",
+    "table_compact": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value * 2 ELSE value END AS value FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-05 06:00:00'",
+    "table_alter": "SELECT * FROM (VALUES ('k', 'UINT64', 'YES', 'YES'), ('r', 'RECORD', 'YES', 'NO'), ('b', 'DOUBLE', 'YES', 'NO')) t(column_name, type, nullable, primary_key)",
+    "describe_partitions": "SELECT strftime(ts, '%Y-%m-%d') AS partition_id, count(*) AS rows FROM events GROUP BY 1",
+    "import_csv": "SELECT n_nationkey::BIGINT AS k, n_name FROM nation",
+    "user_functions": "SELECT event_type, 2 * (max(event_id) - min(event_id)) AS s FROM events GROUP BY event_type",
+    "mapreduce_save": "SELECT event_type AS k, count(*) AS n FROM events GROUP BY event_type",
     "mapreduce_wordcount": "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^\\s]+')) AS word FROM documents) GROUP BY word",
     "mapreduce_join": "SELECT coalesce(o_orderkey, l_orderkey) AS k, o_orderstatus AS status, lines FROM orders FULL JOIN (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY l_orderkey) l ON o_orderkey = l_orderkey",
     "mapreduce_multi_source": "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY k",
