@@ -28,6 +28,8 @@ Pairs = Iterable[tuple[Any, Any]]
 
 #: Pairs that a combiner holds at a time, in each task.
 COMBINE_PAIRS = 200_000
+#: A table of so many bytes for each core, at most, is dealt out before it is mapped.
+SMALL_BYTES = 32 << 20
 
 
 def _text(x: Any) -> str | None:
@@ -84,6 +86,13 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
         yield from zip(b.column("key").to_pylist(), b.column("value").to_pylist(), strict=True)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores, as it may lie in one file; a large one lies in many parts already."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(n) if size <= n * SMALL_BYTES else df
+
+
 class Job:
     """A step whose result is a table of keys and values.
 
@@ -126,7 +135,7 @@ class MapReduce:
                 raise QueryError("a key range needs key_column or a partition key")
             df = df.filter(F.col(by) >= F.lit(begin)) if begin is not None else df
             df = df.filter(F.col(by) < F.lit(until)) if until is not None else df
-        df = df.select(*columns) if columns else df
+        df = _spread(df.select(*columns) if columns else df)
         extra = () if params is None else (params,)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
