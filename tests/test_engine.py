@@ -139,6 +139,8 @@ def test_partitions_and_compaction(engine):
         assert rows(engine, "select count(*) from days") == [(20,)]
         engine.tables.compact("days")
     assert len(rows(engine, "describe partitions days")) == 10
+    assert rows(engine, "select count(*) from days where 'x' = concat('x', '') and v = 4.5 and time = '2020-01-04T00:00:00Z'") == [(1,)]
+    assert rows(engine, "select count(*) from testtable where to_string(one) = '7' and three = 10") == [(1,)]
     # A row that is written while the others are being compacted is not lost.
     whole, tables = engine.spark.catalog.refreshTable, engine.tables
     try:

@@ -187,9 +187,9 @@ def walk(node):
 _MIRROR = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "=": "="}
 
 
-def _bounds(where, table: ast.Table, env: Environment) -> dict[str, list[tuple[str, Column]]]:
-    """By column: comparisons with constants that all rows of a WHERE clause meet."""
-    out: dict[str, list[tuple[str, Column]]] = {}
+def _bounds(where, table: ast.Table, env: Environment) -> dict[str, list[tuple[str, Callable[[], Column]]]]:
+    """By column: comparisons with constants, read as times when asked for, that all rows of a WHERE clause meet."""
+    out: dict[str, list[tuple[str, Callable[[], Column]]]] = {}
     if isinstance(where, ast.Op) and where.op == "and":
         for side in where.args:
             for c, found in _bounds(side, table, env).items():
@@ -198,7 +198,7 @@ def _bounds(where, table: ast.Table, env: Environment) -> dict[str, list[tuple[s
         for op, a, b in ((where.op, *where.args), (_MIRROR[where.op], *reversed(where.args))):
             own = isinstance(a, ast.Ref) and (len(a.parts) == 1 or a.parts[:-1] == [table.alias or table.name.split(".")[-1]])
             if own and not any(isinstance(n, ast.Ref | ast.Star) or _is_aggregate(n, env) for n in walk(b)):
-                out.setdefault(a.parts[-1].lower(), []).append((op, _time(b, Scope(env, env.spark.range(1), []))))
+                out.setdefault(a.parts[-1].lower(), []).append((op, lambda b=b: _time(b, Scope(env, env.spark.range(1), []))))
     return out
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,7 +123,7 @@ class Tables:
     def _set(self, name: str, k: str, v: str) -> None:
         self.spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{PREFIX}{k}' = '{v}')")
 
-    def read(self, name: str, bounds: dict[str, list[tuple[str, Column]]] | None = None) -> DataFrame:
+    def read(self, name: str, bounds: dict[str, list[tuple[str, Callable[[], Column]]]] | None = None) -> DataFrame:
         """The table as queries see it: the latest row of each key, without hidden columns.
 
         ``bounds`` are comparisons of columns with constants that the query's
@@ -133,7 +134,7 @@ class Tables:
         df, key = self.spark.table(name), self.key(name)
         if DAY in df.columns:
             for op, value in (bounds or {}).get(self.properties(name).get("partition_key", "").lower(), []):
-                day = day_of(value.cast("timestamp"))
+                day = day_of(value().cast("timestamp"))
                 df = df.filter(F.col(DAY) >= day if op in (">", ">=") else F.col(DAY) <= day if op in ("<", "<=") else F.col(DAY) == day)
         if key and self.properties(name).get("compact") != "true":
             df = latest(df, key)
