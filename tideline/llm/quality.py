@@ -5,8 +5,10 @@ repetitive texts. Beyond it, a measure may reject documents over a cutoff only
 if the labelled good documents prove, per stratum, that the cutoff's false
 rejection rate is under its share of ``risk``: the exact binomial tail
 P(Bin(n, risk share) <= rejections seen) must be at most ``delta`` divided by
-the number of cutoffs tried in all strata. The strictest proven cutoff of each
-measure applies; without one the measure rejects nothing in that stratum.
+the number of measures and strata. Within a measure and stratum cutoffs are
+tried in a fixed sequence, from the loosest on, until one fails, so that its
+whole sequence needs no further correction. The strictest proven cutoff
+applies; without one the measure rejects nothing in that stratum.
 DataFrame functions only.
 """
 
@@ -90,7 +92,9 @@ def thresholds(labelled: DataFrame, stratum: str, risk: float = RISK, delta: flo
     """(stratum, cut_<measure>...) from labelled documents (stratum, measures, good).
 
     A cutoff is null where no value is proven. Only counts per stratum are
-    gathered, by partial aggregation.
+    gathered, by partial aggregation. A stricter cutoff rejects at least what a
+    looser one does, so its tail is never smaller and the sequence that starts
+    with the loosest is cut at the first failure by the test of each alone.
     """
     good = labelled.filter("good")
     names = list(measures())
@@ -101,7 +105,7 @@ def thresholds(labelled: DataFrame, stratum: str, risk: float = RISK, delta: flo
     counts = cells.groupBy(stratum, "m").agg(F.sum("n").alias("n"), F.collect_list(F.struct("over", "n")).alias("h"))  # as many entries as cutoffs, at most
     tried = good.agg(F.count_distinct(F.coalesce(F.col(stratum).cast("string"), F.lit("\0"))).alias("_strata"))
     share = risk / len(names)
-    limit = F.lit(math.log(delta / (len(names) * len(grid)))) - F.log(F.col("_strata").cast("double"))
+    limit = F.lit(math.log(delta / len(names))) - F.log(F.col("_strata").cast("double"))
     counts = counts.join(F.broadcast(tried))  # one row
     each = counts.select(stratum, "m", "n", "_strata", "h", F.posexplode(cuts).alias("i", "c"))
     cells = each.withColumn("k", F.aggregate(F.filter("h", lambda x: x["over"] > F.col("i")), F.lit(0).cast("long"), lambda a, x: a + x["n"]))
@@ -118,15 +122,17 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
     n_repeat_words, base_failed, kept, then ``keep``.
 
     Null text: no words, so the base rule fails. Null stratum: a stratum of its
-    own. Null or unmatched labels prove nothing; a document labelled twice
-    counts once per label. Repeated rows: each is judged. Without labels no
-    measure rejects. Empty table: no rows. Other columns are ignored.
+    own. Null or unmatched labels prove nothing. A doc_id has one vote in a
+    stratum: it is good if all its labels say so, and counts with the worst
+    measures of its rows. Repeated rows: each is judged. Equal measures stand
+    or fall together. Without labels no measure rejects. Empty table: no rows.
+    Other columns are ignored. Texts of any length are measured whole.
     """
     names = [*dict.fromkeys([c for c in ["doc_id", stratum, *(keep or [])]])]
     all_docs = measured(docs, names).withColumns(measures())
     all_docs = materialize(all_docs, "measures")
-    marked = labels.select(F.col("doc_id").alias("_id"), (F.col("quality") == 1).alias("good"))
-    seen = all_docs.join(marked, all_docs["doc_id"] == marked["_id"])
+    marked = labels.filter("quality is not null").groupBy(F.col("doc_id").alias("_id")).agg((F.min("quality") == 1).alias("good"))
+    seen = all_docs.join(marked, all_docs["doc_id"] == marked["_id"]).groupBy(stratum, "_id", "good").agg(*[F.max(m).alias(m) for m in measures()])
     cuts = thresholds(seen, stratum, risk, delta).withColumnRenamed(stratum, "_s")
     out = all_docs.join(cuts, all_docs[stratum].eqNullSafe(cuts["_s"]), "left")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -137,7 +143,10 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """``docs`` without the rows that :func:`judge` does not keep; columns stay."""
+    """``docs`` without the rows that :func:`judge` does not keep; columns stay.
+
+    Null, empty and very long texts, ties, repeats and empty tables: as there.
+    """
     marked = docs.withColumn("row_hash", F.xxhash64(F.col("text").cast("string")))
     bad = judge(marked, labels, stratum, keep=["row_hash"]).filter("not kept")
     return drop_rows(docs, bad.select(F.col("doc_id").cast("long"), "row_hash"))
@@ -161,14 +170,15 @@ counted AS (
   FROM words w LEFT JOIN covered c ON w.doc_id = c.doc_id),
 scored AS (
   SELECT *, least(1.0, n_symbols::DOUBLE / greatest(word_chars, 1)) AS m1, least(1.0, n_dup_lines::DOUBLE / greatest(n_lines, 1)) AS m2, least(1.0, n_repeat_words::DOUBLE / greatest(n_words, 1)) AS m3 FROM counted),
-good AS (SELECT s.* FROM scored s JOIN labels b ON s.doc_id = b.doc_id WHERE b.quality = 1),
+votes AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+good AS (SELECT s.lang, s.doc_id, max(m1) AS m1, max(m2) AS m2, max(m3) AS m3 FROM scored s JOIN votes b ON s.doc_id = b.doc_id GROUP BY s.lang, s.doc_id),
 total AS (SELECT count(DISTINCT coalesce(lang, chr(0))) AS strata FROM good),
 tried AS (
   SELECT lang, c, count(*) AS n, count(*) FILTER (m1 > c) AS k1, count(*) FILTER (m2 > c) AS k2, count(*) FILTER (m3 > c) AS k3 FROM good, unnest([{_GRID}]) AS g(c) GROUP BY lang, c),
 long AS (SELECT lang, c, n, 1 AS m, k1 AS k FROM tried UNION ALL SELECT lang, c, n, 2, k2 FROM tried UNION ALL SELECT lang, c, n, 3, k3 FROM tried),
 proven AS (
   SELECT lang, m, min(c) AS cut FROM long, total
-  WHERE k < n * {_SHARE!r} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_SHARE!r}) + (n - i) * ln(1 - {_SHARE!r})))) <= {DELTA} / ({3 * len(GRID)} * strata)
+  WHERE k < n * {_SHARE!r} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_SHARE!r}) + (n - i) * ln(1 - {_SHARE!r})))) <= {DELTA} / (3 * strata)
   GROUP BY lang, m),
 cuts AS (SELECT lang, min(cut) FILTER (m = 1) AS c1, min(cut) FILTER (m = 2) AS c2, min(cut) FILTER (m = 3) AS c3 FROM proven GROUP BY lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
