@@ -21,11 +21,11 @@ def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return moved.filter("u <> v").distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    # Edges here point from the larger node u to the smaller v.
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    # Edges here point from the larger node u to the smaller v; a hub may be either.
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
+    return moved.filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct(), least
 
 
 def _is_settled(edges: DataFrame) -> bool:
@@ -47,9 +47,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if _is_settled(now):
             break
-        moved, least = _large_star(now)
-        after = materialize(_small_star(moved), "edges")
-        discard(now, least)
+        moved, first = _large_star(now)
+        moved = materialize(moved, "moved")
+        edges_, second = _small_star(moved)
+        after = materialize(edges_, "edges")
+        discard(now, first, moved, second)
         now = after
     else:
         raise RuntimeError("components did not settle")

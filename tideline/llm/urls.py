@@ -1,9 +1,10 @@
 """URL filters with redirect equivalence.
 
 Host and path rules decide a url directly, the longest fitting rule first.
-Urls that are the same page under another spelling, a redirect or a canonical
-link form components; a url without a rule of its own follows its component:
-an explicit allow in it wins over a block. DataFrame functions only.
+Each spelling of a url is a node; edges lead to the spelling that servers
+redirect it to, to canonical links and refresh targets in its html, and along
+known redirects. A url without a rule of its own follows its component: an
+explicit allow in it wins over a block. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from .graph import connected_components
 #: (verdict, host, path) of the rules that the registered query applies.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 MAX_RULES = 1000
+#: ``..`` that a relative link may hold one after another.
+DEPTH = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,49 +53,77 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return rule, verdict
 
 
-def link_edges(pages: DataFrame, key: str = "key") -> DataFrame:
-    """(u, v, host, path): the page's key, and key, host and path of each canonical link or meta refresh in its html."""
+def spelling(host: Column, path: Column, query: Column) -> Column:
+    """The url as it is written, without scheme and fragment; null without a host."""
+    return F.when(host != "", F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+
+
+def absolute(target: Column, host: Column, path: Column) -> Column:
+    """A link's target as an absolute url, as seen from a page; null for fragments and other schemes.
+
+    ``.`` is taken out, and ``..`` with what it leaves, up to ``DEPTH`` times; beyond the root it leaves nothing.
+    """
+    folder = F.when(F.regexp_extract(path, r"^(.*/)", 1) == "", "/").otherwise(F.regexp_extract(path, r"^(.*/)", 1))
+    place = F.when(target.startswith("/"), target).when(target.startswith("?"), F.concat(path, target)).otherwise(F.concat(folder, target))
+    head, tail = F.regexp_extract(place, r"^([^?#]*)", 1), F.regexp_extract(place, r"^[^?#]*(.*)$", 1)
+    for _ in range(DEPTH):
+        head = F.regexp_replace(F.regexp_replace(F.regexp_replace(head, r"/(\./)+", "/"), r"^(/\.\.)+/", "/"), r"^((?:/[^/]+)*?)/(?!\.\./)[^/]+/\.\./", "$1/")
+    other = (target == "") | target.startswith("#") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
+    return F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), target).when(other | target.isNull(), None).when(target.startswith("//"), F.concat(F.lit("http:"), target)).otherwise(F.concat(F.lit("http://"), host, head, tail))
+
+
+def link_targets(pages: DataFrame) -> DataFrame:
+    """(u, url): the page's node, and the url of each canonical link or meta refresh in its html."""
     some = pages.filter(F.col("html").rlike("(?i)canonical|refresh"))
     tag = F.explode(F.regexp_extract_all("html", F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"), F.lit(1)))
-    tags = some.select(F.col(key).alias("u"), "url", "host", tag.alias("tag"))
+    tags = some.select(F.col("node").alias("u"), "host", "path", tag.alias("tag"))
     canonical = F.col("tag").rlike(r"""(?i)^<link\b[^>]*\brel\s*=\s*["']?canonical\b""")
     refresh = F.col("tag").rlike(r"""(?i)^<meta\b[^>]*http-equiv\s*=\s*["']?refresh\b""")
     target = F.when(canonical, F.regexp_extract("tag", r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)).when(refresh, F.regexp_extract("tag", r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
-    full = F.when(F.col("t").contains("://"), F.col("t")).when(F.col("t").startswith("//"), F.concat(F.lit("http:"), F.col("t"))).when(F.col("t").startswith("/"), F.concat(F.lit("http://"), F.col("host"), F.col("t")))
-    host, path, query = split_url(full)
-    return tags.withColumn("t", target).select("u", same_page_key(host, path, query).alias("v"), host.alias("host"), path.alias("path"))
+    return tags.withColumn("t", target).select("u", absolute(F.col("t"), F.col("host"), F.col("path")).alias("url"))
+
+
+def _nodes(df: DataFrame, url: str, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """``df`` with host, path, node, key and the own verdict of a url column."""
+    host, path, query = split_url(F.col(url))
+    df = df.withColumns({"host": host, "path": path, "_q": query})
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    parts = (F.col("host"), F.col("path"), F.col("_q"))
+    return df.withColumns({"rule": rule, "_own": verdict, "node": spelling(*parts), "key": same_page_key(*parts)}).drop("_q")
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, redirects: DataFrame | None = None) -> DataFrame:
     """Judge every row of ``pages`` (page_id, url, html).
 
     ``redirects`` (from_url, to_url) adds known redirects. Columns: page_id,
-    host, path, rule, verdict, key (the shared spelling), component.
+    host, path, rule, verdict, key (the spelling it is redirected to), component.
 
     Null url or one without ``://``: host and path empty, no rule, in no
     component, allowed. Null html: no links. Repeated rows: each is judged.
     Rules of equal length cannot both fit one url unless equal; the later one
-    then wins. Empty table: no rows. Other columns are ignored.
+    then wins. Empty table: no rows. Other columns are ignored. Urls and html
+    of any length are read whole; ``base`` tags are not heeded.
     """
-    host, path, query = split_url(F.col("url"))
-    base = pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string")).withColumns({"host": host, "path": path, "_q": query})
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules or RULES)
-    base = base.withColumns({"rule": rule, "_own": verdict, "key": same_page_key(F.col("host"), F.col("path"), F.col("_q"))})
-    edges = link_edges(base)
+    rules = rules or RULES
+    base = _nodes(pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), "url", rules)
+    base = materialize(base.withColumn("html", F.when(F.col("html").rlike("(?i)canonical|refresh"), F.col("html"))), "urls")
+    # Written out first: what takes a link apart should not be evaluated once for each of its uses.
+    links = _nodes(materialize(link_targets(base), "targets"), "url", rules)
     if redirects is not None:
-        ends = [same_page_key(*split_url(F.col(c))) for c in ("from_url", "to_url")]
-        for (u, v), c in (((0, 1), "to_url"), ((1, 0), "from_url")):
-            host, path, _ = split_url(F.col(c))
-            edges = edges.union(redirects.select(ends[u].alias("u"), ends[v].alias("v"), host.alias("host"), path.alias("path")))
-    edges = materialize(edges.filter("u is not null and v is not null"), "links")
-    parts = connected_components(edges.select("u", "v"))
-    judged = base.select("page_id", "host", "path", "rule", "_own", "key")
-    judged = judged.join(parts, judged["key"] == parts["node"], "left").withColumn("component", F.coalesce("component", "key")).drop("node")
-    judged = materialize(judged, "judged")
+        ends = [_nodes(redirects.select("from_url", "to_url"), c, rules) for c in ("from_url", "to_url")]
+        source = spelling(*split_url(F.col("from_url")))
+        links = links.select("u", "node", "key", "_own").union(ends[1].select(source.alias("u"), "node", "key", "_own"))
+        links = links.union(ends[0].select(F.col("node").alias("u"), "node", "key", "_own"))
+    links = materialize(links.select("u", "node", "key", "_own").filter("u is not null and node is not null"), "links")
+    edges = links.select("u", F.col("node").alias("v")).union(links.select(F.col("node").alias("u"), F.col("key").alias("v"))).union(base.select(F.col("node").alias("u"), F.col("key").alias("v")))
+    parts = connected_components(edges)
+    at = lambda df: df.join(parts.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("component", F.coalesce("component", "node")).drop("_n")
+    judged = materialize(at(base.select("page_id", "host", "path", "rule", "_own", "node", "key")), "judged")
     # A link's target has a vote as well, whether or not it is among the pages.
-    targets = edges.join(parts, edges["v"] == parts["node"], "left").select(F.coalesce("component", "v").alias("component"), rule_of(F.col("host"), F.col("path"), rules or RULES)[1].alias("_own"))
+    targets = at(links.select("node", "_own")).select("component", "_own")
     votes = judged.select("component", "_own").union(targets).filter("_own is not null and component is not null").groupBy("component").agg(F.max(F.col("_own") == "allow").alias("_allow"))
-    votes = votes.select(F.col("component").alias("_c"), "_allow")
+    # Written out, so that Spark can split a large component in the join.
+    votes = materialize(votes.select(F.col("component").alias("_c"), "_allow"), "votes")
     out = judged.join(votes, judged["component"] == votes["_c"], "left")
     method = F.when(F.col("_allow") == False, "block").otherwise("allow")  # noqa: E712
     return out.select("page_id", "host", "path", "rule", F.coalesce("_own", method).alias("verdict"), "key", "component")
@@ -119,29 +150,46 @@ _RULE = """CASE WHEN ({h} = 'example.net' OR {h} LIKE '%.example.net') AND start
          WHEN ({h} = 'org' OR {h} LIKE '%.org') AND starts_with({p}, '/fr/') THEN 'org/fr/'
          WHEN ({h} = 'net' OR {h} LIKE '%.net') AND starts_with({p}, '/') THEN 'net/' END"""
 _OWN = "CASE {r} WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow' END"
+_NODE = "CASE WHEN {h} <> '' THEN {h} || {p} || CASE WHEN {q} <> '' THEN '?' || {q} ELSE '' END END"
+
+
+def _absolute_sql() -> str:
+    folder = "CASE WHEN regexp_extract(path, '^(.*/)', 1) = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END"
+    place = f"CASE WHEN starts_with(t, '/') THEN t WHEN starts_with(t, '?') THEN path || t ELSE {folder} || t END"
+    scheme = "regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.\\-]*:')"
+    return f"""placed_links AS (SELECT u, host, t, {place} AS place FROM targets),
+walked AS (
+  SELECT u, host, t, 0 AS i, regexp_extract(place, '^([^?#]*)', 1) AS head, regexp_extract(place, '^[^?#]*(.*)$', 1) AS tail FROM placed_links
+  UNION ALL
+  SELECT u, host, t, i + 1, CASE WHEN regexp_extract(x, '/([^/]+)/\\.\\./', 1) NOT IN ('', '..') THEN regexp_replace(x, '/[^/]+/\\.\\./', '/') ELSE x END, tail
+  FROM (SELECT *, regexp_replace(regexp_replace(head, '/(\\./)+', '/', 'g'), '^(/\\.\\.)+/', '/') AS x FROM walked WHERE i < {DEPTH})),
+fulls AS (SELECT u, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.\\-]*://') THEN t WHEN t = '' OR starts_with(t, '#') OR {scheme} THEN NULL
+  WHEN starts_with(t, '//') THEN 'http:' || t ELSE 'http://' || host || head || tail END AS f FROM walked WHERE i = {DEPTH})"""
+
+
 SQL = f"""
 WITH RECURSIVE cut AS (SELECT page_id, url, html, {_PARTS.format(u="url")} AS rest FROM pages),
 base AS (
   SELECT page_id, html, {_HOST.format(r="rest")} AS host, {_PATH.format(r="rest")} AS path, {_QUERY.format(r="rest")} AS q FROM cut),
 ruled AS (
-  SELECT page_id, html, host, path, {_KEY.format(h="host", p="path", q="q")} AS key,
+  SELECT page_id, html, host, path, {_NODE.format(h="host", p="path", q="q")} AS node, {_KEY.format(h="host", p="path", q="q")} AS key,
     {_RULE.format(h="host", p="path")} AS rule
   FROM base),
-tags AS (SELECT key AS u, host, unnest(regexp_extract_all(html, '(?i)(<(?:link|meta)\\b[^>]*>)', 1)) AS tag FROM ruled),
+tags AS (SELECT node AS u, host, path, unnest(regexp_extract_all(html, '(?i)(<(?:link|meta)\\b[^>]*>)', 1)) AS tag FROM ruled),
 targets AS (
-  SELECT u, host, CASE WHEN regexp_matches(tag, '(?i)^<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b') THEN regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)
+  SELECT u, host, path, CASE WHEN regexp_matches(tag, '(?i)^<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b') THEN regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)
     WHEN regexp_matches(tag, '(?i)^<meta\\b[^>]*http-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) END AS t FROM tags),
-fulls AS (SELECT u, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || host || t END AS f FROM targets),
+{_absolute_sql()},
 rests AS (SELECT u, {_PARTS.format(u="f")} AS rest FROM fulls WHERE f IS NOT NULL),
 ends AS (SELECT u, {_HOST.format(r="rest")} AS h, {_PATH.format(r="rest")} AS p, {_QUERY.format(r="rest")} AS q FROM rests),
-links AS (SELECT u, v, rule FROM (SELECT u, {_KEY.format(h="h", p="p", q="q")} AS v, {_RULE.format(h="h", p="p")} AS rule FROM ends) WHERE u IS NOT NULL AND v IS NOT NULL),
-edges AS (SELECT u, v FROM links WHERE u <> v),
+links AS (SELECT * FROM (SELECT u, {_NODE.format(h="h", p="p", q="q")} AS node, {_KEY.format(h="h", p="p", q="q")} AS key, {_RULE.format(h="h", p="p")} AS rule FROM ends) WHERE u IS NOT NULL AND node IS NOT NULL),
+edges AS (SELECT u, v FROM (SELECT u, node AS v FROM links UNION SELECT node, key FROM links UNION SELECT node, key FROM ruled) WHERE u <> v),
 both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
 reach AS (SELECT u AS node, u AS other FROM both_ways UNION SELECT r.node, b.v FROM reach r JOIN both_ways b ON r.other = b.u),
 parts AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
-placed AS (SELECT r.*, coalesce(p.component, r.key) AS component, {_OWN.format(r="rule")} AS own
-  FROM ruled r LEFT JOIN parts p ON r.key = p.node),
-ballots AS (SELECT component, own FROM placed UNION ALL SELECT coalesce(p.component, l.v), {_OWN.format(r="rule")} FROM links l LEFT JOIN parts p ON l.v = p.node),
+placed AS (SELECT r.*, coalesce(p.component, r.node) AS component, {_OWN.format(r="rule")} AS own
+  FROM ruled r LEFT JOIN parts p ON r.node = p.node),
+ballots AS (SELECT component, own FROM placed UNION ALL SELECT coalesce(p.component, l.node), {_OWN.format(r="rule")} FROM links l LEFT JOIN parts p ON l.node = p.node),
 votes AS (SELECT component, bool_or(own = 'allow') AS allowed FROM ballots WHERE own IS NOT NULL AND component IS NOT NULL GROUP BY component)
 SELECT page_id, host, path, rule, coalesce(own, CASE WHEN allowed = false THEN 'block' ELSE 'allow' END) AS verdict, key, p.component AS component
 FROM placed p LEFT JOIN votes v ON p.component = v.component
