@@ -19,7 +19,9 @@ from ..shipping import ship
 
 #: Bytes of text that one Python step works on at a time.
 SLICE_BYTES = 1 << 19
-NULL_KEY = -(1 << 62)
+NULL_KEY = -(1 << 63)
+#: Rows of a range of :func:`prefix_sum`, about, where there are so many that the usual number of partitions would hold more.
+RANGE_ROWS = 2_000_000
 
 
 #: Rows of an Arrow batch, at most: long texts stay within a worker's memory.
@@ -78,9 +80,12 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_tideline_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+            discard_path(df.sparkSession, path)
+
+
+def discard_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -143,25 +148,22 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
         yield batch.slice(start)
 
 
-def prefix_sum(df: DataFrame, key: str, value: Column, out: str, ties: list[str] | None = None, bits: int = 10, levels: int = 3) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over all rows before this one by ``key``.
+def prefix_sum(df: DataFrame, key: str, value: Column, out: str, ties: list[str] | None = None) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over all rows before this one by ``key``, then ``ties``.
 
-    Rows are cut into blocks of ``2**bits`` keys; block totals are summed the
-    same way, so no task sees more than a block or the few top-level totals.
-    Null keys come first. ``df`` is read twice: pass a materialized table.
+    Rows are dealt into ranges of their order, whose bounds Spark samples, and
+    written with the number of their range; sums run inside each range, and
+    only the ranges' totals, one row for each, are summed in one task. Ids may
+    be dense, sparse or repeated. Null keys come first. ``df`` is read twice:
+    pass a materialized table.
     """
-    k, v, b, o = (f"_{x}{levels}" for x in ("key", "value", "block", "offset"))
+    k, v, part, inner, offset = fresh_names(df, "_key", "_value", "_part", "_inner", "_offset")
     base = df.withColumn(k, F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY))).withColumn(v, value.cast("long"))
-    base = base.withColumn(b, F.shiftright(k, bits))
     order = [F.col(k), *[F.col(c).asc_nulls_first() for c in ties or []]]
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // RANGE_ROWS + 1)
+    base = materialize(base.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()), "ranges")
+    before = lambda *of: (Window.partitionBy(*of) if of else Window).orderBy(*(order if of else [part])).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    within = Window.partitionBy(b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inner = base.withColumn("_inner", F.coalesce(F.sum(v).over(within), zero))
-    totals = base.groupBy(b).agg(F.sum(v).alias("_total"))
-    if levels > 1:
-        offsets = prefix_sum(totals, b, F.col("_total"), o, bits=bits, levels=levels - 1)
-    else:
-        top = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.withColumn(o, F.coalesce(F.sum("_total").over(top), zero))
-    joined = inner.join(offsets.select(b, o), b, "left")
-    return joined.select(*df.columns, (F.col("_inner") + F.col(o)).alias(out))
+    totals = base.groupBy(part).agg(F.sum(v).alias("_total")).select(part, F.coalesce(F.sum("_total").over(before()), zero).alias(offset))
+    rows = base.withColumn(inner, F.coalesce(F.sum(v).over(before(part)), zero)).join(F.broadcast(totals), part)  # as many rows as ranges
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(inner) + F.col(offset)).alias(out))

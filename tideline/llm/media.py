@@ -8,8 +8,9 @@ referenced more often is stored once, by its first reference, among the shared
 chunks. So every distinct chunk is stored once, most documents are rebuilt from
 their own record without a shuffle, and only shared chunks travel by digest.
 
-Stored form of a document: ``HEAD``, the number of chunks, then for each chunk
-its digest and length, then the chunks themselves in order.
+Stored form of a document: its manifest (``HEAD``, the number of chunks, then
+for each chunk its digest and length), the compressed chunks of its record, and
+each shared chunk as it is stored, in order.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, new_path, prepare, table, text_slices
+from .common import discard, discard_path, materialize, new_path, prepare, table, text_slices
 
 UNIT = 64
 MIN_BYTES, MASK_BITS, MAX_BYTES = 1024, 11, 16384
@@ -126,14 +127,29 @@ def shared_chunks(refs: DataFrame) -> DataFrame:
     return marked.groupBy("doc_id", "row_hash").agg(F.collect_set("seq").alias("shared"), F.collect_set(F.when(F.col("owns"), F.col("seq"))).alias("lent"))
 
 
-_OBJECT = "kind string, doc_id long, row_hash long, n_bytes long, digests array<binary>, lengths array<int>, shared array<int>, blob binary, digest binary"
+def read_list(manifest: bytes) -> tuple[list[bytes], list[int]]:
+    """(digests, lengths) of a manifest."""
+    at = len(HEAD)
+    (n,) = struct.unpack_from("<I", manifest, at)
+    if manifest[:at] != HEAD or len(manifest) != at + 4 + n * (DIGEST_BYTES + 4):
+        raise ValueError("a manifest is damaged")
+    rows = list(struct.iter_unpack(f"<{DIGEST_BYTES}sI", manifest[at + 4 :]))
+    return [d for d, _ in rows], [k for _, k in rows]
+
+
+_OBJECT = "kind string, doc_id long, row_hash long, n_bytes long, manifest binary, shared array<int>, blob binary, digest binary"
 
 
 def store_media(docs: DataFrame, out: str) -> str:
     """Write the media column to ``out`` (Parquet): ``kind=record`` has one row per
-    document, ``kind=shared`` each chunk that is referenced more than once."""
+    document, ``kind=shared`` each chunk that is referenced more than once.
+
+    Rows alike in doc_id and text own the same chunks; where there are such,
+    ``kind=once`` takes the place of ``kind=shared``, without the repeats.
+    """
     refs = materialize(chunk_references(docs), "refs")
     shared = materialize(shared_chunks(refs), "shared")
+    repeated = refs.filter("seq = 0").groupBy("doc_id", "row_hash").count().filter("count > 1").limit(1).collect()
     discard(refs)
     size = shared.agg(F.sum(F.size("shared") * 8 + 48)).first()[0] or 0
     side = shared.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "shared", "lent")
@@ -152,12 +168,18 @@ def store_media(docs: DataFrame, out: str) -> str:
                     away = sorted(away or ())
                     apart = set(away)
                     own = b"".join(p for i, p in enumerate(parts) if i not in apart)
-                    rows.append(("record", doc, h, n, digests, [len(p) for p in parts], away, pack.compress(own), None))
-                    rows += [("shared", None, None, None, None, None, None, pack.compress(parts[i]), digests[i]) for i in lent or ()]
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+                    rows.append(("record", doc, h, n, chunk_list(digests, [len(p) for p in parts]), away, pack.compress(own), None))
+                    rows += [("shared", None, None, None, None, None, pack.compress(parts[i]), digests[i]) for i in lent or ()]
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _OBJECT.split(", ")])
 
     joined.select("doc_id", "text", "row_hash", "shared", "lent").mapInArrow(run, _OBJECT).write.partitionBy("kind").option("compression", "none").parquet(out)
+    if repeated:
+        spark = docs.sparkSession
+        many = spark.read.schema(_OBJECT).parquet(out).filter("kind = 'shared'")
+        once = many.groupBy("digest").agg(F.min("blob").alias("blob")).withColumn("kind", F.lit("once"))
+        once.write.mode("append").partitionBy("kind").option("compression", "none").parquet(out)
+        discard_path(spark, f"{out}/kind=shared")
     return out
 
 
@@ -173,23 +195,25 @@ _RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 def _rebuild(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        names = ("doc_id", "n_bytes", "digests", "lengths", "shared", "blob", "fetched")
+        names = ("doc_id", "n_bytes", "manifest", "shared", "blob", "fetched")
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part, rows = batch.slice(i, 64), []
-                for doc, n, digests, lengths, away, blob, more in zip(*(part.column(c).to_pylist() for c in names), strict=True):
+                for doc, n, manifest, away, blob, more in zip(*(part.column(c).to_pylist() for c in names), strict=True):
                     lent, apart = {x["digest"]: x["blob"] for x in more or ()}, set(away)
                     own, at, parts = unpack(blob), 0, []
+                    digests, lengths = read_list(manifest)
+                    form, size_of_form = hashlib.sha256(manifest + blob), len(manifest) + len(blob)
                     for j, (d, size) in enumerate(zip(digests, lengths, strict=True)):
                         if j in apart:
+                            form.update(lent[d])
+                            size_of_form += len(lent[d])
                             parts.append(_checked(unpack(lent[d]), d))
                         else:
                             parts.append(_checked(own[at : at + size], d))
                             at += size
-                    payload, raw = b"".join(parts), chunk_list(digests, lengths)
-                    form = hashlib.sha256(raw)
-                    form.update(payload)
-                    rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(raw) + len(payload), form.hexdigest(), features_of(payload), len(digests), payload))
+                    payload = b"".join(parts)
+                    rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), size_of_form, form.hexdigest(), features_of(payload), len(digests), payload))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
                 width = 9 + with_payload
                 arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -206,14 +230,16 @@ def read_media(spark: SparkSession, out: str, with_payload: bool = False) -> Dat
     """
     prepare(spark)
     objects = spark.read.schema(_OBJECT).parquet(out)
-    records, shared = objects.filter("kind = 'record'").drop("kind", "digest"), objects.filter("kind = 'shared'").select("digest", "blob")
+    records, shared = objects.filter("kind = 'record'").drop("kind", "digest"), objects.filter("kind in ('shared', 'once')").select("digest", "blob")
     alone = records.filter(F.size("shared") == 0).withColumn("fetched", F.lit(None).cast("array<struct<digest:binary,blob:binary>>"))
     borrowers = records.filter(F.size("shared") > 0)
-    wanted = borrowers.select("doc_id", "row_hash", F.explode(F.array_distinct(F.transform("shared", lambda i: F.get("digests", i)))).alias("digest")).distinct()
+    # A digest stands at a fixed place of the manifest.
+    at = lambda i: F.call_function("substring", F.col("manifest"), F.lit(len(HEAD) + 5) + i * (DIGEST_BYTES + 4), F.lit(DIGEST_BYTES))
+    wanted = borrowers.select("doc_id", "row_hash", F.explode(F.array_distinct(F.transform("shared", at))).alias("digest")).distinct()
     fetched = wanted.join(shared, "digest").groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("digest", "blob")).alias("fetched"))
     f = fetched.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "fetched")
     both = borrowers.join(f, borrowers["doc_id"].eqNullSafe(f["_id"]) & borrowers["row_hash"].eqNullSafe(f["_hash"]))
-    cols = ["doc_id", "n_bytes", "digests", "lengths", "shared", "blob", "fetched"]
+    cols = ["doc_id", "n_bytes", "manifest", "shared", "blob", "fetched"]
     return alone.select(cols).union(both.select(cols)).mapInArrow(_rebuild(with_payload), _RESULT + (", payload binary" if with_payload else ""))
 
 

@@ -392,8 +392,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, dropout: float =
     ``variants`` groups that documents fall into by the same hash.
 
     Null or empty text: no pieces, lossless. Null doc_id: drawn by the hash of
-    null. Repeated rows: a row each, all alike. Empty table: no rows. Other
-    columns are ignored. Texts of any length are encoded whole.
+    null. Repeated rows: a row each, all alike. Of equal candidates the first
+    in the word is joined first. Empty table: no rows. Other columns are
+    ignored. Texts of any length are encoded whole.
     """
     prepare(docs.sparkSession)
     where = path or tokenizer_path(MODEL)

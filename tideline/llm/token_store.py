@@ -206,6 +206,7 @@ def store_and_read(docs: DataFrame, path: str | None = None, end_id: int = END_I
 
     Null or empty text: the end id alone. Null doc_id: stored, first in order.
     Repeated rows: a row each. Empty table: no rows. Other columns are ignored.
+    Texts of any length are encoded whole.
     """
     spark = docs.sparkSession
     out = write_store(docs, new_path(spark, "store"), path, end_id)
