@@ -22,16 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table, text_slices
+from .common import only_cache, prepare, table, text_slices
 
-#: Rows fitted on, at most: per language, and in all.
-SAMPLE_PER_LANG, SAMPLE_ROWS = 600, 6000
+#: Rows fitted on, at most: per language, and in all; and the languages, the most frequent ones.
+SAMPLE_PER_LANG, SAMPLE_ROWS, SAMPLE_LANGS = 600, 6000, 256
 BUCKET_BITS, DIMENSIONS, GRAMS = 16, 16, (2, 3, 4)
 EPOCHS, RATE, SEED = 6, 0.5, 11
 #: Share of correctly labelled calibration rows that the rejection limit may turn away.
-FALSE_REJECTION = 0.002
-#: A text whose calibrated probability reaches this is never rejected.
-HIGHEST_LIMIT = 0.5
+FALSE_REJECTION = 0.001
 HELD_OUT_REMAINDER = 2
 UNKNOWN = "und"
 _FACTORS = {2: 0x9E3779B1, 3: 0x85EBCA77, 4: 0xC2B2AE3D}
@@ -112,7 +110,7 @@ class Model:
         return out
 
 
-def _blocks(n: int, size: int = 1 << 20) -> tuple[list[int], list[int]]:
+def _blocks(n: int, size: int = 1 << 18) -> tuple[list[int], list[int]]:
     starts = list(range(0, n, size))
     return starts, [min(n, s + size) for s in starts]
 
@@ -162,7 +160,7 @@ def train(texts: list[str], langs: list[str], seed: int = SEED) -> Model:
     p = softmax(z / model.temperature)
     right = np.sort(p.max(1)[p.argmax(1) == y[held]])
     # The highest limit that turns away no more than the allowed share of right answers.
-    model.limit = min(HIGHEST_LIMIT, float(right[int(len(right) * FALSE_REJECTION)]) * 0.999) if len(right) else 0.0
+    model.limit = float(right[int(len(right) * FALSE_REJECTION)]) * 0.999 if len(right) else 0.0
     return model
 
 
@@ -172,13 +170,14 @@ def held_out(doc_id):
 
 def sample(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
     """A bounded, repeatable sample of labelled rows that may be learnt from: about
-    ``per_lang`` of each language and ``rows`` in all, by a hash of the row."""
+    ``per_lang`` of each of the ``SAMPLE_LANGS`` most frequent languages and
+    ``rows`` in all, by a hash of the row."""
     usable = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGS).collect()
     pick = F.lit(False)
-    draw = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id"), F.length("text")), F.lit(1_000_000))
+    draw = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id"), F.length("text")), F.lit(1 << 53))
     for r in counts:
-        pick = pick | ((F.col("lang") == r["lang"]) & (draw < int(min(1.0, per_lang / r["count"]) * 1_000_000)))
+        pick = pick | ((F.col("lang") == r["lang"]) & (draw < int(min(1.0, per_lang / r["count"]) * (1 << 53))))
     drawn = usable.filter(pick).withColumn("h", F.xxhash64(F.lit(SEED + 1), "doc_id", F.length("text"))).orderBy("h", "doc_id").limit(rows)
     return [(r["text"], r["lang"]) for r in drawn.select("text", "lang").toLocalIterator()]
 
@@ -199,13 +198,16 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     Null text or one without a letter: ``und``, score 0, not accepted. Null
     doc_id: not held out. Null lang: never learnt from. Without any labelled
-    row everything is ``und``. Repeated rows: a row each. Empty table: no rows.
-    Other columns are never read. Whole texts are scored.
+    row everything is ``und``. At most ``SAMPLE_LANGS`` languages are learnt,
+    the most frequent ones. Ties go to the first language by name. Repeated
+    rows: a row each. Empty table: no rows. Other columns are never read. Whole
+    texts are scored.
     """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))  # buckets x languages, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("")
         for batch in batches:
             for part in text_slices(batch):
                 got = shared.value.predict(part.column("text").to_pylist())
@@ -216,11 +218,15 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """``docs`` without the rows whose language is unknown or rejected; columns stay."""
+    """``docs`` without the rows whose language is unknown or rejected; columns stay.
+
+    Null, empty and very long texts, nulls, repeats, ties and empty tables: as in :func:`identify`.
+    """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("")
         for batch in batches:
             for part in text_slices(batch):
                 yield part.filter(pa.array([g[2] for g in shared.value.predict(part.column("text").to_pylist())], pa.bool_()))
