@@ -14,27 +14,27 @@ from tideline.llm.common import materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is not recognized go."""
+    """Documents whose language is not recognized go: null and letterless texts, and those under the calibrated limit. Repeats: each is judged. Empty table: stays empty."""
     return langid.keep_accepted(docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule or a risk-controlled cutoff rejects go."""
+    """Documents that the base rule or a risk-controlled cutoff rejects go, null and empty texts among them. Repeats: each is judged. Empty table: stays empty."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar texts stays."""
+    """One document of each component of similar texts stays: the least doc_id. Null and wordless texts are like nothing and stay. Empty table: stays empty."""
     return ngram_join.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text."""
+    """Secrets are masked in the text; every row stays. Null text: stays null. Empty table: stays empty."""
     return secrets.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is cut into sequences of binary length."""
+    """What is left is cut into sequences of binary length. Null and empty texts: the end id alone. Repeats: each is packed. Empty table: no rows."""
     return packing.pack(docs)
 
 
