@@ -2,10 +2,16 @@
 
 The CRF tags the tokens of a text as begin, inside or outside of a secret from
 their shape, the words beside them and features of the whole file, and decodes
-by Viterbi. Every run of secret-like characters is scored, short ones and ones
+by Viterbi. Every run of secret-like characters is tagged, short ones and ones
 without a digit too. What stands between runs can only be outside (a structural
 zero of the model), so decoding each run between outside tokens gives the best
-path of the whole text. Runs with the same features share one decoding.
+path of the whole text.
+
+Most words need no decoding of their own: with the largest weights that their
+letters and any place without a hint before it (or any place at all) could add,
+their best path is still outside. Such bounds are kept by form, a word with its
+letters and digits replaced by their classes; the other words are decoded where
+they stand, and runs with the same features share one decoding.
 
 The model is trained here, by stochastic gradient ascent on the exact
 likelihood, on generated lines of code, configuration and prose; it depends on
@@ -27,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table, text_slices
+from .common import only_cache, prepare, table, text_slices
 
 SEED, TRAIN_LINES, EPOCHS, RATE, PENALTY = 7, 3000, 4, 0.3, 1e-4
 KINDS = ("assign", "access", "hex", "crf")
@@ -38,21 +44,25 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # a leftmost match is a whole run of that length or more
 _RUN = re.compile(r"[A-Za-z0-9+/_.=~-]+")
+_LEFT, _RIGHT = 48, 24
 _TOKEN = re.compile(r"[A-Za-z0-9]+|.")
 _WORD = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]")
 _NEXT = re.compile(r"[^\S\n]*([A-Za-z0-9_]+|[^\sA-Za-z0-9_])")
-#: The shortest run that is scored; the tokens of a block.
-MIN_RUN, MAX_RUN = 1, 512
-#: Runs and decodings a worker remembers; runs of more characters are not kept.
-CACHE_RUNS, CACHE_CHARS = 100_000, 64
+#: Tokens of a long run that are scored at a time.
+BLOCK = 512
+#: Forms, runs and decodings a worker remembers; runs of more characters are not kept.
+CACHE_RUNS, CACHE_CHARS = 200_000, 64
 #: Words whose presence beside a token matters, as fixed values.
 HINTS = frozenset("auth authorization bearer basic key keys apikey token tokens secret secrets password passwd pass pwd credential credentials access private client session cookie sig signature".split())
+_PARTS = ("key", "token", "secret", "passw")
+#: One of these stands in every word that is a hint.
+_STEMS = ("auth", "bearer", "basic", "key", "token", "secret", "pass", "pwd", "credential", "access", "private", "client", "session", "cookie", "sig")
 
 
-def base_spans(text: str) -> list[tuple[int, str, int]]:
+def base_spans(text: str, low: str | None = None) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the fixed patterns, leftmost and non-overlapping per kind."""
     out = []
-    low = text.lower()
+    low = text.lower() if low is None else low
     if any(k in low for k in ("passw", "secret", "token", "api")):
         out += [(m.start(), "assign", m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     if "AKIA" in text:
@@ -68,11 +78,15 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
 def secret_runs(text: str) -> Iterator[tuple[int, int]]:
     """Runs of secret-like characters."""
     for m in _RUN.finditer(text):
-        if m.end() - m.start() >= MIN_RUN:
-            yield m.span()
+        yield m.span()
 
 
 _CLASSES = str.maketrans(string.ascii_uppercase + string.ascii_lowercase + string.digits, "A" * 26 + "a" * 26 + "0" * 10)
+_BYTE_CLASSES = bytes.maketrans((string.ascii_letters + string.digits).encode(), b"a" * 26 + b"A" * 26 + b"0" * 10)
+_BYTE_RUN = re.compile(rb"[A-Za-z0-9+/_.=~-]+")
+LOUD, CALM, DULL = 0, 1, 2
+_HINT_SIZES = frozenset(map(len, HINTS))
+_RUN_SIGNS = frozenset("Aa0+/_.=~-")
 _SAME = re.compile(r"(.)\1+", re.DOTALL)
 
 
@@ -102,31 +116,48 @@ def file_features(text: str) -> tuple[str, ...]:
 
 
 def run_tokens(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Token spans of a run; a very long run is cut into blocks of ``MAX_RUN`` tokens by the caller."""
+    """Token spans of a run."""
     return [(start + m.start(), start + m.end()) for m in _TOKEN.finditer(text[start:end])]
 
 
 @functools.lru_cache(CACHE_RUNS)
 def _is_hint(word: str) -> bool:
     low = word.lower()
-    return low in HINTS or any(h in low for h in ("key", "token", "secret", "passw"))
+    return low in HINTS or any(h in low for h in _PARTS)
 
 
 @functools.lru_cache(CACHE_RUNS)
 def _shown(word: str) -> str:
-    return word.lower() if word.lower() in HINTS else "w" if word.isalnum() else word
+    return word.lower() if word.lower() in HINTS else "w" if word[0] == "_" or word[0].isalnum() else word
+
+
+def hint_zones(low: str) -> list[tuple[int, int]]:
+    """Where runs may start that have a hint before them; ``low`` is the text in lower case."""
+    found = []
+    for stem in _STEMS:
+        at = low.find(stem)
+        while at >= 0:
+            found.append(at)
+            at = low.find(stem, at + 1)
+    out: list[tuple[int, int]] = []
+    for at in sorted(found):
+        if out and at <= out[-1][1]:
+            out[-1] = (out[-1][0], at + _LEFT)
+        else:
+            out.append((at, at + _LEFT))
+    return out
 
 
 def context(text: str, start: int, end: int) -> tuple[bool, str, str, str]:
     """Whether a hint stands before a run, the last two words before it, and the sign after it."""
-    left = _WORD.findall(text[max(0, start - 48) : start].rsplit("\n", 1)[-1])[-4:]
-    right = _NEXT.match(text, end, end + 24)
+    left = _WORD.findall(text[max(0, start - _LEFT) : start].rsplit("\n", 1)[-1])[-4:]
+    right = _NEXT.match(text, end, end + _RIGHT)
     after = "$" if right is None else "w" if right[1].isalnum() else right[1]
     return any(map(_is_hint, left)), _shown(left[-1]) if left else "^", _shown(left[-2]) if len(left) > 1 else "^", after
 
 
-def own_features(whole: str, tokens: list[str]) -> tuple[tuple[str, ...], ...]:
-    """Feature names that a run has wherever it stands: of the run, those told apart by a hint, and of each token."""
+def run_features(whole: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Feature names that all tokens of a run share, and those of them told apart by a hint."""
     digits, shape = sum(c.isdigit() for c in whole) * 5 // len(whole), _shape(whole)
     alpha = any(c.isalpha() for c in whole)
     run = (
@@ -137,13 +168,29 @@ def own_features(whole: str, tokens: list[str]) -> tuple[tuple[str, ...], ...]:
         f"run:alpha={alpha}",
         f"run:both={any(c.isupper() for c in whole) and any(c.islower() for c in whole)}",
     )
-    hinted = (f"alpha={alpha}|digits={digits}", f"shape={shape}", f"len={min(len(whole) // 3, 9)}")
-    shapes = ["^", *map(_shape, tokens), "$"]
-    each = [
-        (f"len={min(len(t) // 4, 8)}", f"shape={shapes[k + 1]}", f"mix={_mix(t)}", f"first={k == 0}", f"known={t.lower() in HINTS}", f"prev={shapes[k]}", f"next={shapes[k + 2]}")
+    return run, (f"alpha={alpha}|digits={digits}", f"shape={shape}", f"len={min(len(whole) // 3, 9)}")
+
+
+def token_features(tokens: list[str], first: bool = True, before: str = "^", after: str = "$") -> list[tuple[str, ...]]:
+    """Feature names of each of a run's tokens; ``before`` and ``after`` are the shapes beside a block of them."""
+    shapes = [before, *map(_shape, tokens), after]
+    return [
+        (f"len={min(len(t) // 4, 8)}", f"shape={shapes[k + 1]}", f"mix={_mix(t)}", f"first={first and k == 0}", f"known={t.lower() in HINTS}", f"prev={shapes[k]}", f"next={shapes[k + 2]}")
         for k, t in enumerate(tokens)
     ]
-    return run, hinted, *each
+
+
+def own_features(whole: str, tokens: list[str]) -> tuple[tuple[str, ...], ...]:
+    """Feature names that a run has wherever it stands: of the run, those told apart by a hint, and of each token."""
+    return *run_features(whole), *token_features(tokens)
+
+
+def kind_of(whole: str) -> tuple:
+    """All that :func:`own_features` of a run depends on."""
+    tokens = tuple([(len(t), _shape(t), _counts(t), t.lower() in HINTS) for t in _TOKEN.findall(whole)])
+    plain = whole.islower() and whole.isalpha()
+    rest = (0, True, False, True) if plain else (sum(c.isdigit() for c in whole), any(map(str.isalpha, whole)), any(map(str.isupper, whole)), any(map(str.islower, whole)))
+    return _shape(whole), _counts(whole), rest, tokens
 
 
 def named(own: tuple[tuple[str, ...], ...], at: tuple[bool, str, str, str], of_file: tuple[str, ...]) -> list[list[str]]:
@@ -165,45 +212,107 @@ class Model:
         self.weights: dict[str, np.ndarray] = {}
         self.move = np.zeros((3, 3))
         self.move[OUTSIDE, INSIDE] = _FORBIDDEN
-        self.runs: dict[str, tuple] = {}
-        self.kinds: dict[tuple | str, tuple] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Start over with what is remembered of runs."""
+        self.kinds: dict[tuple, tuple] = {}
         self.names: dict[tuple, int] = {}
         self.paths: dict[tuple, list[int]] = {}
+        #: By form: outside wherever it stands, wherever no hint stands before it, or neither is certain.
+        self.levels: dict[bytes, int] = {}
 
-    def scores(self, names: list[list[str]]) -> np.ndarray:
+    def scores(self, names: list[list[str]], first: bool = True) -> np.ndarray:
         zero = np.zeros(3)
         out = np.array([sum((self.weights.get(n, zero) for n in row), zero) for row in names])
-        out[0, INSIDE] = _FORBIDDEN  # what stands before a run is outside
+        if first:
+            out[0, INSIDE] = _FORBIDDEN  # what stands before a run is outside
         return out
 
-    def decode(self, names: list[list[str]]) -> list[int]:
-        """The best path (Viterbi)."""
-        s = self.scores(names)
-        best, back = s[0], []
-        for row in s[1:]:
-            reach = best[:, None] + self.move
-            back.append(reach.argmax(0))
-            best = reach.max(0) + row
+    def decode(self, blocks: Iterator[list[list[str]]] | list[list[list[str]]]) -> list[int]:
+        """The best path (Viterbi) of a run whose tokens come in blocks: scores go
+        over from one to the next, and a token leaves three bytes behind."""
+        best, back = None, bytearray()
+        for names in blocks:
+            for row in self.scores(names, best is None):
+                if best is None:
+                    best = row
+                    continue
+                reach = best[:, None] + self.move
+                back += bytes(reach.argmax(0).tolist())
+                best = reach.max(0) + row
         path = [int(best.argmax())]
-        for step in reversed(back):
-            path.append(int(step[path[-1]]))
+        for i in range(len(back) - 3, -1, -3):
+            path.append(back[i + path[-1]])
         return path[::-1]
 
+    def _own(self, whole: str) -> tuple[int, tuple]:
+        """A number for the features that a short run has anywhere, and these."""
+        kind = kind_of(whole)
+        if (known := self.kinds.get(kind)) is None:
+            own = own_features(whole, _TOKEN.findall(whole))
+            known = self.kinds[kind] = self.names.setdefault(own, len(self.names)), own
+        return known
+
     def path(self, whole: str, at: tuple[bool, str, str, str], of_file: tuple[str, ...]) -> list[int]:
         """The best path of a short run, decoded once for each set of features."""
-        known = self.runs.get(whole)
-        if known is None:
-            if len(self.runs) >= CACHE_RUNS or len(self.paths) >= CACHE_RUNS:
-                self.runs, self.kinds, self.names, self.paths = {}, {}, {}, {}
-            # All that the features of a run of letters depend on.
-            kind = (len(whole), _shape(whole), _counts(whole), whole.lower() in HINTS) if whole.isalpha() else whole
-            if (known := self.kinds.get(kind)) is None:
-                own = own_features(whole, _TOKEN.findall(whole))
-                known = self.kinds[kind] = self.names.setdefault(own, len(self.names)), own
-            self.runs[whole] = known
-        key = (known[0], at, of_file)
+        number, own = self._own(whole)
+        key = (number, at, of_file)
         if (found := self.paths.get(key)) is None:
-            found = self.paths[key] = self.decode(named(known[1], at, of_file))
+            found = self.paths[key] = self.decode([named(own, at, of_file)])
+        return found
+
+    def _most(self, prefix: str, free: bool = True) -> np.ndarray:
+        """The most that the features of a prefix add to a token's scores against outside."""
+        seen = [w - w[OUTSIDE] for n, w in self.weights.items() if n.startswith(prefix) and (free or not _is_hint(n.removeprefix(prefix)))]
+        return np.max([np.zeros(3), *seen], axis=0)
+
+    @functools.cached_property
+    def highest(self) -> tuple[np.ndarray, np.ndarray]:
+        """The most that a place without a hint before it adds, and any place."""
+        fixed = self._most("r1=") + self._most("file:code=") + self._most("file:lines=")
+        return fixed + self._most("l1=", False) + self._most("l2=", False), fixed + self._most("l1=") + self._most("l2=")
+
+    def _open(self, whole: str, tokens: list[str]) -> list[np.ndarray]:
+        """The most that is added to each token by what a form leaves open: how mixed its letters are, and which word it is."""
+        zero, against = np.zeros(3), lambda n: self.weights.get(n, np.zeros(3)) - self.weights.get(n, np.zeros(3))[OUTSIDE]
+        mixes = lambda t: range(round(2 * math.log2(len(t))) + 1)
+        known = lambda t: np.max([against("known=False"), against("known=True") if t.isalpha() and len(t) in _HINT_SIZES else against("known=False")], axis=0)
+        if len(tokens) == 1:
+            return [np.max([against(f"run:mix={x}") + against(f"mix={x}") for x in mixes(whole)], axis=0) + known(whole)]
+        run = np.max([zero, *(against(f"run:mix={x}") for x in mixes(whole))], axis=0)
+        return [run + np.max([against(f"mix={x}") for x in mixes(t)], axis=0) + known(t) for t in tokens]
+
+    def _only_outside(self, own: tuple, hint: bool, open_: list[np.ndarray] | None = None) -> bool:
+        """Whether every path with a begin scores less than all outside, whatever a run's place adds.
+
+        ``open_``: ``own`` is of a form, which leaves some features open; the most that these add.
+        """
+        zero, run = np.zeros(3), [*own[0], f"hint={hint}", *(f"hint={hint}|{x}" for x in own[1])]
+        left_out = ("run:mix=", "mix=", "known=") if open_ else ()
+        told = lambda names: sum((self.weights.get(n, zero) for n in names if not n.startswith(left_out)), zero)
+        shared = told(run) + self.highest[hint]
+        rows = [shared + told(x) + (open_[i] if open_ else 0) for i, x in enumerate(own[2:])]
+        quiet, loud = rows[0][OUTSIDE], np.array([_FORBIDDEN, rows[0][BEGIN], _FORBIDDEN])
+        for row in rows[1:]:
+            step = (loud[:, None] + self.move).max(0) + row
+            step[BEGIN] = max(step[BEGIN], quiet + self.move[OUTSIDE, BEGIN] + row[BEGIN])
+            quiet, loud = quiet + self.move[OUTSIDE, OUTSIDE] + row[OUTSIDE], step
+        return bool(loud.max() < quiet - 1e-6)
+
+    def level(self, form: bytes) -> int:
+        """What is certain of all runs of a form."""
+        found = self.levels.get(form)
+        if found is None:
+            if len(form) > CACHE_CHARS:
+                return LOUD
+            whole = form.decode()
+            tokens = _TOKEN.findall(whole)
+            own, most = own_features(whole, tokens), self._open(whole, tokens)
+            found = LOUD if not self._only_outside(own, False, most) else DULL if self._only_outside(own, True, most) else CALM
+            if len(self.levels) >= CACHE_RUNS or len(self.paths) >= CACHE_RUNS:
+                self.forget()
+            self.levels[form] = found
         return found
 
     def learn(self, names: list[list[str]], gold: list[int], rate: float) -> None:
@@ -310,22 +419,59 @@ def trained(seed: int = SEED, lines: int = TRAIN_LINES, epochs: int = EPOCHS) ->
     return model
 
 
-def crf_spans(text: str, model: Model) -> list[tuple[int, str, int]]:
+def _long_path(text: str, start: int, end: int, tokens: list[tuple[int, int]], of_file: tuple[str, ...], model: Model) -> list[int]:
+    """The best path of a run of any length, its features made block by block."""
+    shared, at = run_features(text[start:end]), context(text, start, end)
+    shape = lambda k, other: _shape(text[slice(*tokens[k])]) if 0 <= k < len(tokens) else other
+    blocks = (
+        named((*shared, *token_features([text[a:b] for a, b in tokens[k : k + BLOCK]], k == 0, shape(k - 1, "^"), shape(k + BLOCK, "$"))), at, of_file)
+        for k in range(0, len(tokens), BLOCK)
+    )
+    return model.decode(blocks)
+
+
+def _doubtful(forms: str, levels: dict[str, int], zones: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs that are loud, and calm ones with a hint before them, in order; ``forms`` is the text with its classes for letters."""
+    found, n = set(), len(forms)
+    for form, level in levels.items():
+        at = forms.find(form) if level == LOUD else -1
+        while at >= 0:
+            end = at + len(form)
+            if (at == 0 or forms[at - 1] not in _RUN_SIGNS) and (end == n or forms[end] not in _RUN_SIGNS):
+                found.add((at, end))
+            at = forms.find(form, at + 1)
+    for low, high in zones:
+        for m in _RUN.finditer(forms, low):
+            start, end = m.span()
+            if start > high:
+                break
+            if m[0] in levels and (start == 0 or forms[start - 1] not in _RUN_SIGNS):
+                found.add((start, end))
+    return sorted(found)
+
+
+def crf_spans(text: str, model: Model, low: str | None = None) -> list[tuple[int, str, int]]:
+    """Spans of the best path of a text."""
+    raw = text.encode("utf-8", "replace").translate(_BYTE_CLASSES)
+    levels = {form: x for form in set(_BYTE_RUN.findall(raw)) if (x := model.level(form)) != DULL}
+    if not levels:
+        return []
+    low = text.lower() if low is None else low
+    zones = hint_zones(low) if len(low) == len(text) else [(0, len(text))]
+    if not zones and LOUD not in levels.values():
+        return []
     of_file, out = file_features(text), []
-    for start, end in secret_runs(text):
+    for start, end in _doubtful(text.translate(_CLASSES), {form.decode(): x for form, x in levels.items()}, zones):
+        tokens = None
         if end - start <= CACHE_CHARS:
             path = model.path(text[start:end], context(text, start, end), of_file)
             if not any(path):
                 continue
-            tokens = run_tokens(text, start, end)
         else:
-            tokens, path = run_tokens(text, start, end), []
-            # A run without end is decoded in blocks, so memory stays bounded.
-            for k in range(0, len(tokens), MAX_RUN):
-                block = tokens[k : k + MAX_RUN]
-                path += model.decode(features(text, block[0][0], block[-1][1], block, of_file))
+            tokens = run_tokens(text, start, end)
+            path = _long_path(text, start, end, tokens, of_file, model)
         at = None
-        for (a, b), tag in zip([*tokens, (end, end)], [*path, OUTSIDE], strict=True):
+        for (a, b), tag in zip([*(tokens or run_tokens(text, start, end)), (end, end)], [*path, OUTSIDE], strict=True):
             if at is not None and tag != INSIDE:
                 out.append((at, "crf", last))
                 at = None
@@ -336,9 +482,15 @@ def crf_spans(text: str, model: Model) -> list[tuple[int, str, int]]:
 
 
 def find_spans(text: str, model: Model) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
-    """(base spans, all spans): the CRF adds those that touch no base span."""
-    base = base_spans(text)
-    more = [s for s in crf_spans(text, model) if not any(s[0] < b[2] and b[0] < s[2] for b in base)]
+    """(base spans, all spans): the CRF adds those that reach beyond every base span."""
+    low = text.lower()
+    base, more, k, reach = base_spans(text, low), [], 0, 0
+    for s in crf_spans(text, model, low):
+        while k < len(base) and base[k][0] <= s[0]:
+            reach = max(reach, base[k][2])
+            k += 1
+        if s[2] > reach:
+            more.append(s)
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
@@ -355,11 +507,13 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Columns: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf.
     Null text: as empty, no spans. Null doc_id: kept. Repeated rows: a row
-    each. Empty table: no rows. Other columns are ignored. Texts are read whole.
+    each. Of paths that score alike, the one with fewer and later secrets.
+    Empty table: no rows. Other columns are ignored. Texts are read whole.
     """
     model = _model_of(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("runs", model.value.forget)
         for batch in batches:
             for part in text_slices(batch):
                 rows = []
@@ -384,10 +538,15 @@ def mask(text: str, spans: list[tuple[int, str, int]], sign: str = "[SECRET]") -
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with secrets masked in ``text`` and ``n_chars`` set anew; other columns and rows stay."""
+    """``docs`` with secrets masked in ``text`` and ``n_chars`` set anew; other columns and rows stay.
+
+    Null text: stays null, and so does its n_chars. Empty and very long texts,
+    null doc_ids, repeats and empty tables: as in :func:`scan`.
+    """
     model = _model_of(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("runs", model.value.forget)
         for batch in batches:
             for part in text_slices(batch):
                 texts = [None if t is None else mask(t, find_spans(t, model.value)[1]) for t in part.column("text").to_pylist()]
