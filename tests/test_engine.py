@@ -206,6 +206,19 @@ def test_map_reduce(engine):
     assert sorted(engine.mapreduce.download_results(engine.mapreduce.join([some, more]), lambda k, v: f"{k} {v}")) == ['10 {"a": 1, "b": 10}', '20 {"a": 1, "b": 20}']
 
 
+def test_kept_pairs(engine):
+    m = engine.mapreduce
+    make = lambda r: [(r["three"], r["one"])]
+    job = m.map_table("testtable", make, keep=True)
+    assert m.map_table("testtable", make, keep=True) is job and m.map_table("testtable", make, ["one", "three"], keep=True) is not job
+    assert job.pairs.storageLevel.useMemory
+    m.forget()
+    assert m.map_table("testtable", make, keep=True) is not job
+    m.forget()
+    with pytest.raises(QueryError, match="named table"):
+        m.map_table(engine.spark.range(1), make, keep=True)
+
+
 def test_combiner_bounds(monkeypatch):
     monkeypatch.setattr(mapreduce, "COMBINE_PAIRS", 100)
     total = lambda k, vs: [(k, sum(map(int, vs)))]

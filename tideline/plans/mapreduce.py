@@ -9,6 +9,7 @@ or shuffled, and takes the weight off hot keys.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import logging
 from collections.abc import Callable, Iterable, Iterator
@@ -16,6 +17,7 @@ from itertools import groupby
 from typing import Any
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,13 +123,23 @@ class Job:
 class MapReduce:
     def __init__(self, engine):
         self.engine = engine
+        self._kept: dict[str, Job] = {}
 
-    def map_table(self, table: str | DataFrame, map_fn: Callable[..., Pairs], columns: list[str] | None = None, begin: Any = None, until: Any = None, key_column: str | None = None, params: dict | None = None) -> Job:
+    def map_table(self, table: str | DataFrame, map_fn: Callable[..., Pairs], columns: list[str] | None = None, begin: Any = None, until: Any = None, key_column: str | None = None, params: dict | None = None, keep: bool = False) -> Job:
         """``map_fn(row[, params])`` gives (key, value) pairs for each row, a dict.
 
         Only ``columns`` are read; ``begin`` and ``until`` bound ``key_column``
-        (the table's partition key by default) and reach the scan.
+        (the table's partition key by default) and reach the scan. ``keep``:
+        the pairs are persisted under a digest of the table's name, the
+        function and all arguments, and the same call finds them again.
         """
+        if keep:
+            if not isinstance(table, str):
+                raise QueryError("only the pairs of a named table are kept")
+            digest = hashlib.sha1(cloudpickle.dumps((table, map_fn, columns, begin, until, key_column, params))).hexdigest()
+            if digest not in self._kept:
+                self._kept[digest] = self.map_table(table, map_fn, columns, begin, until, key_column, params).cached()
+            return self._kept[digest]
         df = table if isinstance(table, DataFrame) else self.engine._table(table)
         if begin is not None or until is not None:
             by = key_column or (self.engine.tables.properties(table).get("partition_key") if isinstance(table, str) else None)
@@ -143,6 +155,12 @@ class MapReduce:
 
         return Job(df.mapInArrow(run, SCHEMA), (df, lambda row: map_fn(row, *extra)))
 
+    def forget(self) -> None:
+        """Give up the pairs that were kept."""
+        for job in self._kept.values():
+            job.pairs.unpersist()
+        self._kept.clear()
+
     @staticmethod
     def _gathered(sources: Job | list[Job], shards: int | None) -> DataFrame:
         jobs = sources if isinstance(sources, list) else [sources]

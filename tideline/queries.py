@@ -281,6 +281,25 @@ def import_csv(spark: SparkSession, folder: str) -> DataFrame:
     return e.sql("SELECT to_int(n_nationkey) AS k, n_name FROM catalogue_nations")
 
 
+def import_database(spark: SparkSession, folder: str) -> DataFrame:
+    """IMPORT over JDBC in parallel ranges, with a filter, from a database in memory that is filled for the purpose."""
+    url = "jdbc:derby:memory:catalogue"
+    load(spark, folder, "supplier").select(*[F.col(c).alias(c.upper()) for c in ("s_suppkey", "s_name", "s_nationkey")]).write.mode("overwrite").option("truncate", "true").jdbc(f"{url};create=true", "catalogue_suppliers")
+    e = engine(spark, folder)
+    e.sql("IMPORT TABLE catalogue_suppliers FROM 'jdbc://derby:memory:catalogue?column=s_suppkey&partitions=4&filter=s_nationkey%20%3E%203'")
+    return e.sql("SELECT s_suppkey AS s_suppkey, s_name AS s_name, s_nationkey AS s_nationkey FROM catalogue_suppliers")
+
+
+def mapreduce_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Two reductions of one kept map step."""
+    e = engine(spark, folder)
+    make = lambda r: [(r["event_type"], r["event_id"])]
+    one, two = (e.map_table("events", make, ["event_type", "event_id"], keep=True) for _ in range(2))
+    low = e.reduce(one, lambda k, vs: [(f"{k} low", min(map(int, vs)))])
+    high = e.reduce(two, lambda k, vs: [(f"{k} high", max(map(int, vs)))])
+    return low.pairs.union(high.pairs).select(F.col("key").alias("k"), F.col("value").cast("bigint").alias("v"))
+
+
 def user_functions(spark: SparkSession, folder: str) -> DataFrame:
     e = engine(spark, folder)
     e.register_function("twice", lambda x: x * 2)
@@ -297,7 +316,7 @@ def mapreduce_save(spark: SparkSession, folder: str) -> DataFrame:
     return e.sql("SELECT * FROM catalogue_sums")
 
 
-FRAMES: dict[str, Query] = {f.__name__: f for f in (table_insert, table_insert_json, table_upsert, table_compact, table_alter, describe_partitions, import_csv, user_functions, mapreduce_save, record_field, record_within, upsert_latest, insert_json, mapreduce_wordcount, mapreduce_join, mapreduce_multi_source, mapreduce_graph, now_shape, show_tables, describe_table, show_servers, explain, draw_linechart, codec_cells)}
+FRAMES: dict[str, Query] = {f.__name__: f for f in (table_insert, table_insert_json, table_upsert, table_compact, table_alter, describe_partitions, import_csv, import_database, user_functions, mapreduce_save, mapreduce_kept, record_field, record_within, upsert_latest, insert_json, mapreduce_wordcount, mapreduce_join, mapreduce_multi_source, mapreduce_graph, now_shape, show_tables, describe_table, show_servers, explain, draw_linechart, codec_cells)}
 QUERIES: dict[str, Query] = {name: _dialect(text) for name, (text, _) in PAIRS.items()} | FRAMES
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in PAIRS.items()} | {
     "record_field": "SELECT l_orderkey, l_linenumber AS line, l_quantity AS qty FROM lineitem WHERE l_quantity > 25",
@@ -311,6 +330,8 @@ ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in PAIRS.items()} | {
     "table_alter": "SELECT * FROM (VALUES ('k', 'UINT64', 'YES', 'YES'), ('r', 'RECORD', 'YES', 'NO'), ('b', 'DOUBLE', 'YES', 'NO')) t(column_name, type, nullable, primary_key)",
     "describe_partitions": "SELECT strftime(ts, '%Y-%m-%d') AS partition_id, count(*) AS rows FROM events GROUP BY 1",
     "import_csv": "SELECT n_nationkey::BIGINT AS k, n_name FROM nation",
+    "import_database": "SELECT s_suppkey, s_name, s_nationkey FROM supplier WHERE s_nationkey > 3",
+    "mapreduce_kept": "SELECT event_type || ' low' AS k, min(event_id) AS v FROM events GROUP BY event_type UNION ALL SELECT event_type || ' high', max(event_id) FROM events GROUP BY event_type",
     "user_functions": "SELECT event_type, 2 * (max(event_id) - min(event_id)) AS s FROM events GROUP BY event_type",
     "mapreduce_save": "SELECT event_type AS k, count(*) AS n FROM events GROUP BY event_type",
     "mapreduce_wordcount": "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^\\s]+')) AS word FROM documents) GROUP BY word",

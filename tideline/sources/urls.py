@@ -14,7 +14,7 @@ _CSV = {"headers", "col_sep", "row_sep", "quote_char", "escape_char"}
 
 
 def open_source(spark: SparkSession, url: str, tables: list[str]) -> dict[str, DataFrame]:
-    """The named tables of a ``csv://`` or ``mysql://`` url."""
+    """The named tables of a ``csv://``, ``mysql://`` or ``jdbc://`` url."""
     scheme, _, rest = url.partition("://")
     if scheme == "csv":
         if len(tables) != 1:
@@ -26,6 +26,10 @@ def open_source(spark: SparkSession, url: str, tables: list[str]) -> dict[str, D
         headers = given.pop("headers", "true").lower() == "true"
         given = {k: v.replace("\\n", "\n").replace("\\t", "\t") for k, v in given.items()}
         return {tables[0]: read_csv(spark, path, headers, **given)}
+    if scheme == "jdbc":  # any database whose driver Spark has, read in ranges of a column if one is named
+        address, _, query = url.partition("?")
+        given = dict(parse_qsl(query))
+        return {t: read_jdbc(spark, address.replace("jdbc://", "jdbc:", 1), t, given.get("username"), given.get("password"), given.get("filter"), given.get("column"), partitions=int(given.get("partitions", 8))) for t in tables}
     if scheme == "mysql":
         parts = urlsplit(url)
         given = dict(parse_qsl(parts.query))
