@@ -194,6 +194,11 @@ def test_prefix_bounds():
 def test_shingles():
     a, b, c = shingles.shingle_sets(["The quick\tbrown\x0bfox jumps over", "the QUICK brown fox jumps over  ", "the quick brown fox"])
     assert len(a) == 2 and (a == b).all() and len(c) == 1 and not set(c) & set(a)
+    # White space at the end of the last text, and texts with nothing else.
+    for tail in ("\n", " ", "\r\n\t", ""):
+        x, y = shingles.shingle_sets(["the quick brown fox jumps over", f"one two three four five{tail}"])
+        assert len(x) == 2 and len(y) == 1 and (y == shingles.shingle_sets(["one two three four five"])[0]).all()
+        assert [len(s) for s in shingles.shingle_sets(["a b", tail])] == [1, 0]
 
 
 # -- 2

@@ -34,7 +34,7 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     starts = edge[::2]
     if not len(starts):
         return starts, np.zeros(0, np.uint64)
-    ends = np.append(edge[1::2], [len(x)] * (len(edge) % 2))
+    ends = edge[1::2] if len(edge) % 2 == 0 else np.append(edge[1::2], len(x))
     lengths = ends - starts
     at = np.flatnonzero(solid)
     place = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
