@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, prepare, release_shuffles, table, text_slices
+from .common import discard, fresh_names, materialize, new_path, only_cache, prepare, release_shuffles, table, text_slices
 from .graph import connected_components
 from .shingles import second_order, shingle_sets
 
@@ -44,6 +44,9 @@ ROUNDS, FEW_PAIRS, PAIRS_PER_ROW = 1, 300_000, 2
 BAND = 1.2501
 #: Ids of documents with candidates: sent to every executor up to this many bytes, else joined by shuffle.
 BROADCAST_BYTES = 16 << 20
+#: Bytes of sets in a bucket, about.
+BUCKET_BYTES = 32 << 20
+_SETS = "key long, doc_id long, n long, digest binary, tokens array<long>, other array<long>"
 
 
 def needed(n, percent: int = PERCENT):
@@ -68,6 +71,7 @@ def _list(arrays: list[np.ndarray]) -> pa.Array:
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, doc_id, n, the size of the extended prefix, how many of its rarest tokens count, and the prefix."""
+    only_cache("")
     for batch in batches:
         for part in text_slices(batch):
             sets = shingle_sets(part.column("text").to_pylist())
@@ -80,6 +84,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, doc_id, n, digest of the set, the set, and its prefix in the second order."""
+    only_cache("")
     for batch in batches:
         for part in text_slices(batch):
             sets = shingle_sets(part.column("text").to_pylist())
@@ -113,6 +118,19 @@ def _may_link(x: str, y: str) -> Column:
     return near & ((100 + PERCENT) * room >= PERCENT * (a("n") + b("n")))
 
 
+def _in_buckets(texts: DataFrame, n_tokens: int) -> tuple[DataFrame, str]:
+    """Whole sets of ``texts`` (key, doc_id, text), written in buckets by key: as a plain table, and the name of the bucketed one."""
+    spark = texts.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_tokens * 10 // BUCKET_BYTES + 1)
+    sets = texts.repartition(n, "key").mapInArrow(_whole, _SETS)
+    path = new_path(spark, "sets")
+    name = f"tideline_sets_{path.rsplit('-', 2)[1]}"
+    sets.write.format("parquet").bucketBy(n, "key").sortBy("key").option("path", path).saveAsTable(name)
+    plain = spark.read.schema(_SETS).parquet(path)
+    plain._tideline_path = path
+    return plain, name
+
+
 def _rarest(postings: DataFrame, limits: DataFrame, partners: int = 2) -> DataFrame:
     """Written out: (key, n, m, shared, t), the rarest ``keep`` tokens of each key, those of them that occur with others.
 
@@ -139,11 +157,12 @@ def _least_token(order: int) -> Column:
 class _Links:
     """Verified links between class representatives, and what has been compared."""
 
-    def __init__(self, sets: DataFrame):
-        self.sets, self.spark = sets, sets.sparkSession
+    def __init__(self, sets: DataFrame, bucketed: str):
+        self.sets, self.bucketed, self.spark = sets, bucketed, sets.sparkSession
         self.links: DataFrame | None = None
         self.compared: DataFrame | None = None
         self.parts: DataFrame | None = None
+        self.tables: list[DataFrame] = []
 
     def _components(self, frame: DataFrame) -> DataFrame:
         if self.parts is None:
@@ -151,25 +170,39 @@ class _Links:
         parts = self.parts.select(F.col("node").alias("key"), F.col("component"))
         return frame.join(parts, "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
 
-    def compare(self, pairs: DataFrame) -> None:
-        """Compare (a, b) pairs, a < b, not compared before; link what overlaps enough."""
+    def compare(self, pairs: DataFrame, even: bool = True) -> None:
+        """Compare pairs (m, p) not compared before; link what overlaps enough.
+
+        ``even``: no ``m`` has more than a few pairs, but a ``p`` may have very
+        many. The sets of ``m`` are then read where they lie, in buckets by key,
+        and travel to their ``p``; those of ``p`` are set apart first. Otherwise
+        both are dealt out. Joins by ``p`` read two exchanges, so Spark can split a hot one.
+        """
+        pairs = pairs.withColumns({"a": F.least("m", "p"), "b": F.greatest("m", "p")}).dropDuplicates(["a", "b"])
         if self.compared is not None:
-            pairs = pairs.join(self.compared, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+            pairs = pairs.join(self.compared.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = materialize(pairs.select("a", "b", "m", "p"), "pairs")
         if not pairs.head(1):
             return
-        brief = self.sets.select("key", "other")
-        both = pairs.join(brief.select(F.col("key").alias("a"), F.col("other").alias("x")), "a").join(brief.select(F.col("key").alias("b"), F.col("other").alias("y")), "b")
-        both = both.filter(F.arrays_overlap("x", "y")).select("a", "b")
-        full = self.sets.select("key", "n", "tokens")
-        both = both.join(full.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("x")), "a").join(full.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("y")), "b")
-        both = both.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), F.size(F.array_intersect("x", "y")).alias("i"))
+        mine = theirs = self.sets
+        if even:
+            mine = self.spark.table(self.bucketed)
+            theirs = materialize(mine.join(pairs.select(F.col("p").alias("key")).distinct(), "key", "left_semi").select("key", "n", "other", "tokens"), "pivots")
+        x, y = (lambda c: mine.select(F.col("key").alias("m"), F.col("n").alias("nm"), F.col(c).alias("x"))), (lambda c: theirs.select(F.col("key").alias("p"), F.col("n").alias("np"), F.col(c).alias("y")))
+        near = pairs.join(x("other").drop("nm"), "m").join(y("other").drop("np"), "p").filter(F.arrays_overlap("x", "y")).select("a", "b", "m", "p")
+        both = near.join(x("tokens"), "m").join(y("tokens"), "p")
+        both = both.select("a", "b", (F.col("nm") + F.col("np")).alias("n"), F.size(F.array_intersect("x", "y")).alias("i"))
         found = materialize(both.filter(100 * F.col("i") >= PERCENT * (F.col("n") - F.col("i"))).select("a", "b"), "links")
+        if even:
+            discard(theirs)
+        self.tables += [pairs, found]
         self.links = found if self.links is None else self.links.union(found)
         self.compared = pairs if self.compared is None else self.compared.union(pairs)
+        release_shuffles(self.spark)
         if self.parts is not None and not found.head(1):
             return
-        release_shuffles(self.spark)
+        if self.parts is not None:
+            discard(self.parts)
         self.parts = connected_components(self.links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     def sketch(self, rare: DataFrame) -> None:
@@ -188,7 +221,7 @@ class _Links:
             heads = materialize(heads.select("bucket", "size", F.col("f.key").alias("p"), F.col("f.n").alias("pn"), F.col("f.c").alias("pc")), "heads")
             near = 100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")
             pairs = rows.join(heads, "bucket").filter((F.col("c") != F.col("pc")) & near)
-            self.compare(pairs.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct())
+            self.compare(pairs.select(F.col("key").alias("m"), "p"))
             discard(heads)
 
     def _open(self, rows: DataFrame) -> DataFrame:
@@ -207,7 +240,7 @@ class _Links:
         heads = materialize(rows.groupBy("token").agg(first).select("token", F.col("f.key").alias("p"), F.col("f.x").alias("px"), F.col("f.c").alias("pc")), "heads")
         near = rows.join(heads, "token").filter((F.col("c") != F.col("pc")) & _may_link("x", "px"))
         pairs = near.groupBy("key").agg(F.min(F.struct((-F.col("size")).alias("s"), "p")).alias("f")).select("key", "f.p")
-        return pairs.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b")).distinct()
+        return pairs.select(F.col("key").alias("m"), "p")
 
     @staticmethod
     def _every_pair(rows: DataFrame) -> DataFrame:
@@ -215,7 +248,7 @@ class _Links:
         one = rows.filter("x.strong").select("token", "key", "x", "c")
         two = rows.select("token", F.col("key").alias("key2"), F.col("x").alias("x2"), F.col("c").alias("c2"))
         pairs = one.join(two, "token").filter((F.col("x.n") <= F.col("x2.n")) & (F.col("c") != F.col("c2")) & _may_link("x", "x2"))
-        return pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+        return pairs.select(F.col("key").alias("m"), F.col("key2").alias("p"))
 
     def settle(self, rare: DataFrame) -> DataFrame | None:
         """Link what shares a bucket (see :func:`_buckets`).
@@ -231,7 +264,7 @@ class _Links:
             if not n:
                 return None
             if work <= FEW_PAIRS + PAIRS_PER_ROW * n:
-                self.compare(self._every_pair(now))
+                self.compare(self._every_pair(now), even=False)
                 discard(now)
                 return None
             if r == ROUNDS:
@@ -246,7 +279,7 @@ class _Links:
         n = F.col("n")
         keep = n - F.floor((PERCENT * n + 99) / 100) + 1
         rare = _rarest(sets.select("key", F.explode("tokens").alias("token")), sets.select("key", "n", n.alias("m"), keep.alias("keep")))
-        self.compare(self._every_pair(self._open(_buckets(self._components(rare), whole=True))))
+        self.compare(self._every_pair(self._open(_buckets(self._components(rare), whole=True))), even=False)
 
 
 def _buckets(rare: DataFrame, whole: bool = False) -> DataFrame:
@@ -295,16 +328,17 @@ def similar_components(docs: DataFrame) -> DataFrame:
     discard(profile)
     profile = slim
     ids = rare.select("key")
-    ids = F.broadcast(ids) if rare.count() * 16 <= BROADCAST_BYTES else ids
+    n_ids, n_tokens = rare.agg(F.count("*"), F.sum("n")).first()
+    ids = F.broadcast(ids) if n_ids * 16 <= BROADCAST_BYTES else ids
     texts = keyed.join(ids, "key", "left_semi").select("key", "doc_id", "text")
     texts = texts.dropDuplicates(["key"]) if repeated else texts
-    sets = materialize(texts.mapInArrow(_whole, "key long, doc_id long, n long, digest binary, tokens array<long>, other array<long>"), "sets")
+    sets, bucketed = _in_buckets(texts, n_tokens or 0)
     release_shuffles(spark)
 
     classes = sets.groupBy("digest", "n").agg(F.min("key").alias("rep"))
     classes = materialize(classes, "classes")
     members = materialize(sets.select("key", "doc_id", "digest", "n").join(classes, ["digest", "n"]).select("key", "doc_id", "rep"), "members")
-    links = _Links(sets)
+    links = _Links(sets, bucketed)
     own_rare = rare.join(classes.select(F.col("rep").alias("key")), "key", "left_semi")
     links.sketch(own_rare)
     left = links.settle(own_rare)
@@ -318,7 +352,10 @@ def similar_components(docs: DataFrame) -> DataFrame:
     out = profile.select("key", "doc_id", "n").join(place, "key", "left").withColumn("part", F.coalesce("part", "key"))
     # Written out, so that the tables behind it can go.
     out = materialize(out.select("key", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "part"), "components")
-    discard(profile, rare, sets, classes, members)
+    discard(profile, rare, sets, classes, members, least, *links.tables)
+    if links.parts is not None:
+        discard(links.parts)
+    spark.sql(f"DROP TABLE IF EXISTS {bucketed}")
     return out
 
 
@@ -330,19 +367,20 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     wordless text is a component of its own.
     """
     keyed, repeated = _keyed(docs)
-    full = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")) if repeated else F.col("doc_id").cast("long"))
+    mark, count = fresh_names(docs, "_mark", "_count")
+    full = docs.withColumn(mark, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")) if repeated else F.col("doc_id").cast("long"))
     found = similar_components(docs).filter("n_shingles > 0")
     head = F.struct((~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("other"), F.col("key"))
     # Written out, so that Spark can split a large component in the join.
     first = materialize(found.groupBy("part").agg(F.min(head).alias("h")), "first")
-    gone = found.select("key", "part").join(first, "part").filter("key <> h.key").select(F.col("key").alias("_key")).distinct()
+    gone = found.select("key", "part").join(first, "part").filter("key <> h.key").select(F.col("key").alias(mark)).distinct()
     gone = materialize(gone, "gone")
     gone = F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone
-    kept = full.join(gone, "_key", "left_anti")
+    kept = full.join(gone, mark, "left_anti")
     if repeated:
-        one = Window.partitionBy("_key").orderBy("_key")
-        kept = kept.withColumn("_n", F.row_number().over(one)).filter("_n = 1 or text is null or text rlike '^[\\\\s]*$'").drop("_n")
-    return kept.select(*docs.columns)
+        one = Window.partitionBy(mark).orderBy(mark)
+        kept = kept.withColumn(count, F.row_number().over(one)).filter((F.col(count) == 1) | F.col("text").isNull() | F.col("text").rlike(r"^[\x20\x09-\x0D]*$"))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
