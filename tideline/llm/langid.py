@@ -30,6 +30,9 @@ BUCKET_BITS, DIMENSIONS, GRAMS = 16, 16, (2, 3, 4)
 EPOCHS, RATE, SEED = 6, 0.5, 11
 #: Share of correctly labelled calibration rows that the rejection limit may turn away.
 FALSE_REJECTION = 0.001
+#: Where the limit lies between a blind guess (0) and the probability that this share of right answers stays under (1):
+#: a corpus holds shorter and odder texts than the calibration rows, and clean ones among them should stay.
+MARGIN = 0.5
 HELD_OUT_REMAINDER = 2
 UNKNOWN = "und"
 _FACTORS = {2: 0x9E3779B1, 3: 0x85EBCA77, 4: 0xC2B2AE3D}
@@ -160,7 +163,8 @@ def train(texts: list[str], langs: list[str], seed: int = SEED) -> Model:
     p = softmax(z / model.temperature)
     right = np.sort(p.max(1)[p.argmax(1) == y[held]])
     # The highest limit that turns away no more than the allowed share of right answers.
-    model.limit = float(right[int(len(right) * FALSE_REJECTION)]) * 0.999 if len(right) else 0.0
+    guess = 1 / len(names)
+    model.limit = guess + MARGIN * (float(right[int(len(right) * FALSE_REJECTION)]) - guess) * 0.999 if len(right) else 0.0
     return model
 
 
