@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import os
+import shutil
+import tempfile
+import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -281,12 +289,53 @@ def import_csv(spark: SparkSession, folder: str) -> DataFrame:
     return e.sql("SELECT to_int(n_nationkey) AS k, n_name FROM catalogue_nations")
 
 
+def _derby(spark: SparkSession, df: DataFrame, table: str) -> str:
+    """The JDBC address, less its scheme, of a database with ``df`` as ``table`` that the driver and all executors can read at once.
+
+    A Derby database that can be written belongs to one process. So executors
+    write the rows as delimited text into the warehouse, from where the driver's
+    Derby imports them in bulk. It is then closed and put into the warehouse as
+    one file, which every process opens for reading. Its entries are stored
+    uncompressed, so that a page is found without those before it. The file goes
+    with the driver's process.
+    """
+    home = Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"))
+    home.mkdir(parents=True, exist_ok=True)
+    name = f"{home}/catalogue-{uuid.uuid4().hex[:12]}"
+    # Nothing between commas is null, "" an empty string.
+    cells = [F.coalesce(F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')) if kind == "string" else F.col(c).cast("string"), F.lit("")) for c, kind in df.dtypes]
+    df.select(F.concat_ws(",", *cells)).write.text(f"{name}.csv")
+    connect = spark._jvm.java.sql.DriverManager.getConnection
+    with tempfile.TemporaryDirectory() as made:
+        base = Path(os.path.realpath(made))
+        url = f"jdbc:derby:{base}/catalogue"
+        df.limit(0).write.jdbc(f"{url};create=true", table)  # has no partitions, so that no executor connects
+        held = connect(url)
+        call = held.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(null, ?, ?, ',', '\"', 'UTF-8', 0)")
+        call.setString(1, table.upper())
+        for part in Path(f"{name}.csv").glob("part-*"):
+            call.setString(2, str(part))
+            call.execute()
+        held.close()
+        shutil.rmtree(f"{name}.csv")
+        try:
+            connect(f"{url};shutdown=true")
+        except Py4JJavaError as e:
+            if e.java_exception.getSQLState() != "08006":  # closed
+                raise
+        atexit.register(Path(f"{name}.jar").unlink, missing_ok=True)
+        with zipfile.ZipFile(f"{name}.jar", "w", zipfile.ZIP_STORED) as z:
+            for p in (base / "catalogue").rglob("*"):
+                z.write(p, p.relative_to(base))
+    return f"derby:jar:({name}.jar)catalogue"
+
+
 def import_database(spark: SparkSession, folder: str) -> DataFrame:
-    """IMPORT over JDBC in parallel ranges, with a filter, from a database in memory that is filled for the purpose."""
-    url = "jdbc:derby:memory:catalogue"
-    load(spark, folder, "supplier").select(*[F.col(c).alias(c.upper()) for c in ("s_suppkey", "s_name", "s_nationkey")]).write.mode("overwrite").option("truncate", "true").jdbc(f"{url};create=true", "catalogue_suppliers")
+    """IMPORT over JDBC in parallel ranges, with a filter, from a database that is filled for the purpose."""
+    suppliers = load(spark, folder, "supplier").select(*[F.col(c).alias(c.upper()) for c in ("s_suppkey", "s_name", "s_nationkey")])
+    address = _derby(spark, suppliers, "catalogue_suppliers")
     e = engine(spark, folder)
-    e.sql("IMPORT TABLE catalogue_suppliers FROM 'jdbc://derby:memory:catalogue?column=s_suppkey&partitions=4&filter=s_nationkey%20%3E%203'")
+    e.sql(f"IMPORT TABLE catalogue_suppliers FROM 'jdbc://{address}?column=s_suppkey&partitions=4&filter=s_nationkey%20%3E%203'")
     return e.sql("SELECT s_suppkey AS s_suppkey, s_name AS s_name, s_nationkey AS s_nationkey FROM catalogue_suppliers")
 
 
