@@ -1,6 +1,7 @@
 """Operators against brute force, round trips, held-out rows and DuckDB."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -706,3 +707,11 @@ def test_revisit_headers_and_repeats(spark):
     df = spark.createDataFrame([(i, u, t, k, e, None, None, h) for i, u, t, k, e, h in rows], "record_id long, uri string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>")
     got = sorted((x.record_id, x.response_id, x.headers) for x in warc.resolve_revisits(df).collect())
     assert got == [(2, 1, {"etag": "b", "x": long, "server": "s", "date": "3"})] * 2 + [(3, 4, {"b": "c"})]
+
+
+def test_revisit_headers_in_any_order(spark):
+    """Of names that differ only in case the same one counts, however a map's entries lie."""
+    names = list(itertools.permutations(["Date", "DATE", "date"]))
+    df = spark.createDataFrame(names, "a string, b string, c string").withColumn("headers", F.map_from_arrays(F.array("a", "b", "c"), F.array("a", "b", "c")))
+    got = df.select(warc.merged_headers("headers", F.col("headers")).alias("both"), warc.merged_headers("headers", F.create_map().cast("map<string,string>")).alias("old")).collect()
+    assert [(x.both, x.old) for x in got] == [({"date": "date"}, {"date": "date"})] * 6

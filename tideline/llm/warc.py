@@ -47,11 +47,14 @@ def as_of_response(records: DataFrame, block_seconds: int = BLOCK_SECONDS) -> Da
 
 
 def merged_headers(old: Column, new: Column, permitted: tuple[str, ...] = PERMITTED) -> Column:
-    """The response's headers under the revisit's permitted ones; names are lower case, and of ones alike the last counts."""
+    """The response's headers under the revisit's permitted ones; names are lower case.
+
+    Maps have no order: of names alike the spelling last by code points counts.
+    """
     bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
     names = lambda es: F.transform(es, lambda e: e["key"])
     last = lambda es: bind(F.reverse(names(es)), lambda back: F.filter(es, lambda e, i: F.array_position(back, e["key"]) == F.size(es) - i))
-    entries = lambda m: F.transform(F.map_entries(m), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    entries = lambda m: F.transform(F.array_sort(F.map_entries(m)), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
     low = lambda m: F.coalesce(bind(entries(m), lambda es: F.map_from_entries(last(es))), F.create_map().cast("map<string,string>"))
     fresh = F.map_filter(low(new), lambda k, v: k.isin(*permitted))
     return F.map_concat(F.map_filter(low(old), lambda k, v: ~F.map_contains_key(fresh, k)), fresh)
@@ -68,7 +71,8 @@ def resolve_revisits(records: DataFrame, block_seconds: int = BLOCK_SECONDS) ->
     Null uri or time: orphan. Null kind: neither a response nor a revisit.
     Repeated rows: each is resolved. Empty table: no rows. Other columns are
     ignored. Of header names that differ only in case within one record the
-    last counts. Uris and headers of any length are read whole.
+    spelling last by code points counts. Uris and headers of any length are read
+    whole.
     """
     names = ["record_id", "uri", "ts", "kind", "etag", "last_modified", "digest", "headers"]
     rows = as_of_response(records.select(*names), block_seconds).filter("kind = 'revisit'")
